@@ -130,7 +130,8 @@ def confident_contexts(found: DataFrame, docs: DataFrame) -> DataFrame:
     # How often each word occurs at all, whatever follows it.
     seen = edges.where(F.col("kind").isNotNull()).select("context").distinct()
     words = docs.select(F.explode(F.split(F.lower("text"), r"[\s\"'=:]+")).alias("context")).groupBy("context").count()
-    totals = materialize(words.join(seen, "context", "left_semi").withColumnRenamed("count", "total"), "pii-words")
+    # An inner join: a semi join would be pushed below the counting, and all words would be shuffled.
+    totals = materialize(words.join(seen, "context").withColumnRenamed("count", "total"), "pii-words")
     seed = F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)
     scored = edges.withColumn("trust", seed)
     for _ in range(ROUNDS):
