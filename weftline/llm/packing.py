@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import os
+from array import array
 from itertools import groupby
 from zlib import crc32
 
@@ -31,28 +32,62 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class WordIds:
-    """Ids of words as bytes of unsigned 32-bit numbers, with a bounded cache."""
+    """Ids of words as bytes of unsigned 32-bit numbers, with a bounded cache.
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
+    New words made of Latin letters and closing marks are looked up as their lower-case letters and their marks;
+    such letter runs are encoded many at a time, parted again behind the pieces that end a word.
+    """
+
+    MARKS = ".,;:!?"
+
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.ends = bytearray(tokenizer.get_vocab_size())
+        for piece, i in tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
         self.most, self.longest = most, longest
         self.known: dict[str, bytes] = {"": b""}
 
+    def learn(self, fresh: list[str]) -> None:
+        known, odd, plain = self.known, [], []
+        runs: dict[str, None] = {}
+        for w in fresh:
+            core = w.rstrip(self.MARKS)
+            if core.isalpha() and max(core) <= "\xff":
+                low, tail = core.lower(), w[len(core) :]
+                plain.append((w, low, tail))
+                if low not in known:
+                    runs[low] = None
+                if tail not in known:
+                    known[tail] = array("I", self.encode([tail])[0]).tobytes()
+            else:
+                odd.append(w)
+        if odd:
+            known.update((w, array("I", ids).tobytes()) for w, ids in zip(odd, self.encode(odd), strict=True))
+        if runs:
+            at, ids, ends = 0, self.encode([" ".join(runs)])[0], self.ends
+            parts = [i + 1 for i, x in enumerate(ids) if ends[x]]
+            for w, end in zip(runs, parts, strict=True):
+                known[w] = array("I", ids[at:end]).tobytes()
+                at = end
+        for w, low, tail in plain:
+            known[w] = known[low] + known[tail]
+
     def ids(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
         if len(self.known) > self.most:
             self.known = {"": b""}
         fresh = list(set(words).difference(self.known))
         if fresh:
-            found = self.encode(fresh, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, found, strict=True))
+            self.learn(fresh)
         out = b"".join(map(self.known.__getitem__, words))
         for w in fresh:
             if len(w) > self.longest:
-                del self.known[w]
+                self.known.pop(w, None)
         return np.frombuffer(out, "<u4")
 
 
