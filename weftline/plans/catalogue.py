@@ -1,11 +1,182 @@
-"""The catalogue of registered queries and the SQL that checks them."""
+"""The catalogue of registered queries and the DuckDB statements that check them.
+
+Most entries are one statement for both engines; where names or types differ, each has its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import udfs
+from weftline.operators.joins import as_of
+from weftline.sources.tables import table, through, views
+from weftline.streaming import events
+
+SQL: dict[str, tuple[str, str]] = {}
+FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def both(name: str, text: str, oracle: str | None = None) -> None:
+    SQL[name] = (text, oracle or text)
+
+
+def frame(name: str, oracle: str):
+    def put(f):
+        FRAMES[name] = (f, oracle)
+        return f
+
+    return put
+
+
+both("r1_literal", "SELECT 'www.hello' AS line")
+# Scans, projections, filters
+both("p01_scan", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+both("p03_filter_project", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity < 5 AND l_shipdate >= CAST('1998-01-01' AS TIMESTAMP_NTZ)", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity < 5 AND l_shipdate >= TIMESTAMP '1998-01-01'")
+both("p04_like", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%A%' OR p_name ILIKE 'a%'")
+both("p05_regex", "SELECT c_custkey FROM customer WHERE c_name RLIKE '[0-9]*7$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '[0-9]*7$')")
+both("p06_in_between_case", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 100000 THEN 'low' ELSE 'high' END AS band FROM orders WHERE o_orderstatus IN ('O', 'F')")
+# Joins; both sides are filtered, so that every kind gives another result
+SIDES = "(SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000) o {} JOIN (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 25) l ON o_orderkey = l_orderkey"
+for kind in ("inner", "left", "right", "full"):
+    both(f"p10_{kind}_join", f"SELECT o_orderkey, l_orderkey, l_linenumber FROM {SIDES.format(kind.upper())}")
+for kind in ("semi", "anti"):
+    both(f"p11_{kind}_join", f"SELECT o_orderkey FROM {SIDES.format('LEFT ' + kind.upper())}", f"SELECT o_orderkey FROM {SIDES.format(kind.upper())}")
+both("p12_small_product", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+both("p13_theta_equi_join", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
+both("p14_interval_join", "SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
+both("p16_lateral", "SELECT r_name, top.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0) top")
+both("p17_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+both("p17_scalar_subquery", "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey)")
+both("p18_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t")
+both("p19_hinted_join", "SELECT /*+ MERGE(orders) */ c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
+# Aggregation
+both("p20_group_aggregate", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= CAST('2001-06-01' AS TIMESTAMP_NTZ) GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY l_returnflag, l_linestatus")
+both("p21_count_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days FROM orders GROUP BY o_orderpriority")
+both("p22_filter_having", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+for kind, text in (("rollup", "ROLLUP(n_regionkey, c_mktsegment)"), ("cube", "CUBE(n_regionkey, c_mktsegment)"), ("grouping_sets", "GROUPING SETS ((n_regionkey), (c_mktsegment), ())")):
+    both(f"p23_{kind}", f"SELECT n_regionkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY {text}")
+both("p24_grouping", "SELECT n_regionkey, CAST(grouping(n_regionkey) AS INT) AS g, count(*) AS n FROM nation GROUP BY ROLLUP(n_regionkey)")
+both("p26_unpivot", "SELECT c_custkey, name, value FROM (SELECT c_custkey, c_acctbal AS a, c_acctbal * 2 AS b FROM customer) UNPIVOT (value FOR name IN (a, b))")
+both("p27_statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, round(corr(l_quantity, l_extendedprice), 6) AS c FROM lineitem GROUP BY l_returnflag")
+both("p28_percentile", "SELECT o_orderpriority, round(percentile(o_totalprice, 0.5), 4) AS m FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS m FROM orders GROUP BY o_orderpriority")
+both("p29_arg_max", "SELECT c_nationkey, max_by(c_custkey, c_acctbal) AS best FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS best FROM customer GROUP BY c_nationkey")
+both("p30_ordered_list", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+# Windows, order, sets
+both("p40_ranking", "SELECT l_orderkey, l_linenumber, l_quantity, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS d, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity)")
+both("p40_row_number_ntile", "SELECT event_id, CAST(row_number() OVER w AS INT) AS rn, CAST(ntile(4) OVER w AS INT) AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+both("p41_offsets", "SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after, first_value(value) OVER w AS first, nth_value(value, 2) OVER w AS second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+both("p42_rows_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s FROM events")
+both("p43_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS n FROM orders")
+both("p44_interval_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n FROM events")
+both("p45_order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
+both("p46_top_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 3")
+A, B = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 3000", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 7000"
+for name, word in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
+    both(f"p48_{name}", f"({A}) {word} ({B})")
+# Scalars
+both("p50_strings", "SELECT c_custkey, upper(c_name) AS u, substring(c_name, 3, 5) AS s, replace(c_name, '0', 'x') AS r, lpad(c_mktsegment, 12, '*') AS l, concat_ws('-', c_name, c_mktsegment) AS j, CAST(length(c_name) AS INT) AS n FROM customer")
+both("p51_case", "SELECT doc_id, lower(text) AS low FROM documents")
+both("p52_regex_functions", "SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#') AS a, regexp_extract(c_name, '([0-9]+)', 1) AS b FROM customer", "SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS a, regexp_extract(c_name, '([0-9]+)', 1) AS b FROM customer")
+both("p53_hashes", "SELECT doc_id, md5(text) AS m, sha2(text, 256) AS s FROM documents", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")
+both("p53_trim_levenshtein", "SELECT p_partkey, trim(p_name) AS t, CAST(levenshtein(p_name, p_type) AS INT) AS d FROM part")
+both("p54_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q FROM orders")
+both("p55_date_trunc", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m FROM orders")
+both("p56_day_of_week", "SELECT o_orderkey, dayofweek(o_orderdate) - 1 AS d FROM orders", "SELECT o_orderkey, CAST(dayofweek(o_orderdate) AS INT) AS d FROM orders")
+both("p57_math", "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS s, round(ln(l_extendedprice), 6) AS g, CAST(floor(l_extendedprice) AS DOUBLE) AS f, CAST(ceil(l_extendedprice) AS DOUBLE) AS c FROM lineitem")
+both("p58_division", "SELECT o_orderkey, o_orderkey % 7 AS m, o_orderkey / 4 AS q FROM orders")
+both("p59_decimal_sum", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS s FROM lineitem GROUP BY l_returnflag")
+both("p60_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+both("p61_arrays", "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * x), CAST(0 AS DOUBLE), (a, x) -> a + x), 6) AS norm2 FROM embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm2 FROM embeddings")
+both("p61_explode", "SELECT conv_id, turn, word FROM conversations LATERAL VIEW explode(split(text, ' ')) AS word", "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations")
+both("p62_maps", "SELECT n_nationkey, map_from_arrays(array('a', 'b'), array(n_nationkey, n_regionkey))['b'] AS v FROM nation", "SELECT n_nationkey, n_regionkey AS v FROM nation")
+# Event time, in batch
+both("p70_tumbling", "SELECT window.start AS start, count(*) AS n FROM events GROUP BY window(ts, '1 hour')", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1")
+both("p71_sliding", "SELECT window.start AS start, count(*) AS n FROM events GROUP BY window(ts, '1 hour', '30 minutes')", "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) AS start FROM events UNION ALL SELECT time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes' FROM events) GROUP BY start")
+both("p72_session", "SELECT user_id, session_window.start AS start, count(*) AS n FROM events GROUP BY user_id, session_window(ts, '30 minutes')", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+both("p95_tags_stripped", "SELECT page_id, length(regexp_replace(html, '<[^>]+>', '')) AS n FROM pages", "SELECT page_id, CAST(length(regexp_replace(html, '<[^>]+>', '', 'g')) AS INT) AS n FROM pages")
+both("p96_conversations", "SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, role))), x -> x.role), '>') AS roles FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+
+
+@frame("p02_formats", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after csv, json and orc files."""
+    return through(through(through(table(spark, sf_dir, "nation"), "csv", header=True), "json"), "orc")
+
+
+@frame("p15_as_of_join", "SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
+def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    probes = rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views_ = rows.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return as_of(probes, views_, "user_id", "ts", "view_id").select("event_id", "view_id")
+
+
+@frame("p25_pivot", "SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_nationkey")
+def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    counts = rows.groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).agg(F.count(F.lit(1)))
+    return counts.select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
+
+
+@frame("p31_approximate_distinct", "SELECT true AS close")
+def about_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate number of distinct values is within a tenth of the exact one."""
+    counts = table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("a"), F.count_distinct("l_partkey").alias("e"))
+    return counts.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+
+
+@frame("p32_sketch", "SELECT true AS close")
+def sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "lineitem").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("a"), F.count_distinct("l_partkey").alias("e"))
+    return counts.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+
+
+@frame("p73_stream_tumbling", SQL["p70_tumbling"][1])
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.tumbling(spark, sf_dir)
+
+
+@frame("p75_stream_join", "SELECT a.event_id AS view_id, b.event_id AS purchase_id, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.purchases_after_views(spark, sf_dir)
+
+
+@frame("p76_stream_distinct", "SELECT event_id, user_id FROM events")
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.distinct_events(spark, sf_dir)
+
+
+@frame("p80_pandas_udf", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) AS gross FROM lineitem")
+def arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(udfs.with_tax("l_extendedprice", "l_tax"), 4).alias("gross"))
+
+
+@frame("p81_grouped_map", "SELECT user_id, event_id, round(value / sum(value) OVER (PARTITION BY user_id), 8) AS share FROM events")
+def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    shares = rows.groupBy("user_id").applyInPandas(udfs.share_of_group, "user_id long, event_id long, share double")
+    return shares.select("user_id", "event_id", F.round("share", 8).alias("share"))
+
+
+@frame("p83_udaf", "SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 4) AS spread FROM orders GROUP BY o_orderpriority")
+def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(udfs.spread("o_totalprice"), 4).alias("spread"))
+
+
+def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir)
+        return spark.sql(text)
+
+    return run
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: statement(text) for k, (text, _) in SQL.items()} | {k: f for k, (f, _) in FRAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: o for k, (_, o) in (SQL | FRAMES).items()}
