@@ -116,7 +116,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     hit = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
     return spans.select(
         "doc_id", "text_hash", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lower("x.t").alias("token"),
-        F.lower(F.regexp_extract("x.g", r"(\S{1,30})[\s\"'=:]*$", 1)).alias("context"),
+        F.lower(F.regexp_extract("x.g", r"([^\s\"'=:]{1,30})[\s\"'=:]*$", 1)).alias("context"),
         F.when(F.size(hit) > 0, hit[0]["k"]).alias("kind"),
     )
 
