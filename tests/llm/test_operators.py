@@ -91,6 +91,38 @@ def test_near_copies(spark, empty):
     assert minhash.classes(empty).count() == 0
 
 
+def test_classes_like_brute_force(spark):
+    """Edited copies of one text, many of which are near to few others: all links count, in every round."""
+    draw = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for k in draw.choice(100, int(draw.integers(1, 6)), replace=False):
+            words[k] = f"e{i if i % 3 else i // 6}-{k}"
+        texts.append(words)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == dict(enumerate(label))
+    assert len(set(label)) > 20
+
+
+def test_parities_bound_the_difference():
+    draw = np.random.default_rng(3)
+    for n in (1, 50, 3000):
+        a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        b = np.union1d(a[: n // 2], draw.integers(0, 2**63, n // 3).astype(np.uint64))
+        apart = len(np.setxor1d(a, b))
+        odd = sum(int(x).bit_count() for x in (minhash.parities(a) ^ minhash.parities(b)).view(np.uint64))
+        assert odd <= apart and odd % 2 == apart % 2
+
+
 def test_darts_estimate_weighted_similarity():
     a, b = np.arange(100, dtype=np.uint64) + 1, np.arange(50, 150, dtype=np.uint64) + 1
     sets = minhash.mixed(np.concatenate([a, b]) * minhash.MULTIPLIER)

@@ -8,8 +8,12 @@ Jaccard similarity. With weight 1 for each shingle, as in the registered query,
 
 Documents with equal shingle sets are one node. Bands of coordinates are joined: in each bucket nodes are compared
 with pivots, and a candidate pair becomes a link if the exact similarity of the shingle sets reaches the
-threshold. Buckets whose nodes are not yet in one component get more pivots, eight times as many in each
-round, until every pair there is compared or implied; nothing is capped. Classes are connected components.
+threshold. Buckets whose nodes are not yet in one component get more pivots, 32 times as many in each round, until
+every pair there is compared or implied; nothing is capped. From the second round on, a pair becomes a candidate
+only if the parities of its sets allow the threshold: shingles are dealt into cells, and the cells in which
+one set has an odd number and the other an even one are at most the shingles that only one of them has. That bound
+is exact, so no link is lost, and near copies that stay apart from a large group are ruled out inside the join.
+Classes are connected components.
 
 Texts of one to four words have one shingle, all their words. Texts without words (null and empty ones) are in no
 group. Repeated rows and ids are one class. Other columns are ignored by `classes` and kept by `keep_one`.
@@ -22,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.anchors import MULTIPLIER, mixed
@@ -33,6 +37,8 @@ from weftline.llm.fmindex import read
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
+#: Cells for parities, in words of 64 bits.
+PARITY = 32
 #: Ranks up to 1/4 are one cell; further cells double.
 FIRST_RANK = 0.25
 
@@ -140,19 +146,25 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count:
     return docs.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
 
 
+def parities(shingles_of: np.ndarray) -> np.ndarray:
+    """One bit for each cell: whether an odd number of shingles falls there."""
+    odd = np.bincount((shingles_of & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(node, set): the sorted 64-bit shingle hashes of each row as bytes."""
+    """(node, set, size, odd): the sorted 64-bit shingle hashes of each row as bytes, their number and parities."""
 
     def collect(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets, _, sizes = shingles(part.column("text"))
-                raw = sets.tobytes()
-                blobs = [raw[8 * a : 8 * b] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], ["node", "set"])
+                own = [sets[a:b] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
+                columns = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array(np.diff(sizes)), pa.array([parities(x) for x in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["node", "set", "size", "odd"])
 
-    return docs.mapInArrow(collect, "node long, set binary")
+    return docs.mapInArrow(collect, "node long, set binary, size long, odd array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -172,9 +184,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def near_links(nodes: DataFrame, sets: DataFrame, members: DataFrame, similar: float) -> DataFrame | None:
+def may_link(similar: float) -> Column:
+    """Whether sizes and parities of a pair allow the threshold: bounds on the shingles that only one has."""
+    apart = (F.col("size") + F.col("size_a")) * ((1 - similar) / (1 + similar)) + 1e-6
+    odd = sum(F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("odd_a", F.lit(i)))) for i in range(PARITY))
+    return (F.abs(F.col("size") - F.col("size_a")) <= apart) & (odd <= apart)
+
+
+def near_links(sets: DataFrame, members: DataFrame, similar: float) -> DataFrame | None:
     """(node, label) of all nodes that have a link; None without any."""
-    links, labels, pivots = None, None, 1
+    links, labels, done, pivots = None, None, 0, 1
     while True:
         if labels is None:
             placed = members.withColumn("label", F.col("node"))
@@ -182,19 +201,24 @@ def near_links(nodes: DataFrame, sets: DataFrame, members: DataFrame, similar: f
             placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         by_bucket = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
         # A bucket is open while its nodes are in several components and not all have been pivots.
-        open_ = by_bucket.where((F.col("x") < F.col("y")) & (F.lit(0 if labels is None else pivots // 8) < F.col("n"))).select("bucket")
+        open_ = materialize(by_bucket.where((F.col("x") < F.col("y")) & (F.col("n") > done)).select("bucket"), "open-buckets")
+        if open_.isEmpty():
+            return labels
         rows = placed.join(open_, "bucket")
+        wanted = (F.col("a") < F.col("node")) & (F.col("label") != F.col("label_a"))
+        if done:
+            rows = rows.join(sets.select("node", "size", "odd"), "node")
+            wanted &= may_link(similar)
         first = Window.partitionBy("bucket").orderBy("node")
-        chosen = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= pivots)
-        chosen = chosen.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        pairs = rows.join(chosen, "bucket").where((F.col("a") < F.col("node")) & (F.col("label") != F.col("label_a")))
+        chosen = rows.withColumn("nth", F.row_number().over(first)).where((F.col("nth") <= pivots) & (F.col("nth") > done)).drop("nth")
+        chosen = chosen.withColumnsRenamed({"node": "a", "label": "label_a", "size": "size_a", "odd": "odd_a"})
+        pairs = rows.join(chosen, "bucket").where(wanted)
         pairs = materialize(pairs.select("a", F.col("node").alias("b")).distinct(), "near-pairs")
-        if not pairs.limit(1).count() and not open_.limit(1).count():
-            return labels
         found = materialize(verified(pairs, sets, similar), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        pivots *= 8
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        done, pivots = pivots, 32 * pivots
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -209,8 +233,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     shared = buckets.groupBy("bucket").agg((F.min("node") < F.max("node")).alias("several")).where("several").select("bucket")
     members = materialize(buckets.join(shared, "bucket").distinct(), "members")
     wanted = members.select("node").distinct()
-    sets = materialize(sets_of(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")).distinct(), "sets")
-    labels = near_links(nodes, sets, members, similar)
+    sets = materialize(sets_of(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")).dropDuplicates(["node", "set"]), "sets")
+    labels = near_links(sets, members, similar)
     classed = nodes.select("key", "node")
     if labels is None:
         classed = classed.withColumn("label", F.col("node"))
