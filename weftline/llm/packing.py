@@ -1,6 +1,6 @@
 """Packing of token pieces into sequences: shortest-pack-first over the length histogram.
 
-Texts are tokenised word by word (the tokenizer never joins across blanks), each distinct word once per
+Texts are tokenised by their distinct words (the tokenizer never joins across blanks), each word once per
 worker as long as the bounded cache holds it. A document's ids, with an end id, are cut into pieces of at most
 the sequence length. The histogram of piece lengths, at most that many numbers, goes to the driver, which
 places lengths longest first into the emptiest open packing pattern, updating pattern counts. A piece finds
@@ -20,6 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,63 +33,94 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class WordIds:
-    """Ids of words as bytes of unsigned 32-bit numbers, with a bounded cache.
+    """Ids of texts by their distinct words, with a bounded cache of ids as bytes of unsigned 32-bit numbers.
 
-    New words made of Latin letters and closing marks are looked up as their lower-case letters and their marks;
-    such letter runs are encoded many at a time, parted again behind the pieces that end a word.
+    A word made of Latin letters and closing marks is looked up as its lower-case letters and its marks. New letter
+    runs are encoded many at a time by the same model without the steps that leave such runs as they are,
+    and parted again behind the pieces that end a word. All other words go through the whole tokenizer.
     """
 
     MARKS = ".,;:!?"
+    LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
-    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64, together: int = 100):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-        self.ends = bytearray(tokenizer.get_vocab_size())
-        for piece, i in tokenizer.get_vocab().items():
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        whole = Tokenizer.from_file(path)
+        bare = Tokenizer(whole.model)
+        bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode = lambda texts: [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+        self.encode_runs = lambda texts: [e.ids for e in bare.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ends = np.zeros(whole.get_vocab_size(), bool)
+        for piece, i in whole.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.most, self.longest = most, longest
+        self.most, self.longest, self.together = most, longest, together
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, fresh: list[str]) -> None:
-        known, odd, plain = self.known, [], []
-        runs: dict[str, None] = {}
-        for w in fresh:
-            core = w.rstrip(self.MARKS)
-            if core.isalpha() and max(core) <= "\xff":
-                low, tail = core.lower(), w[len(core) :]
-                plain.append((w, low, tail))
-                if low not in known:
-                    runs[low] = None
-                if tail not in known:
-                    known[tail] = array("I", self.encode([tail])[0]).tobytes()
-            else:
-                odd.append(w)
-        if odd:
-            known.update((w, array("I", ids).tobytes()) for w, ids in zip(odd, self.encode(odd), strict=True))
-        if runs:
-            at, ids, ends = 0, self.encode([" ".join(runs)])[0], self.ends
-            parts = [i + 1 for i, x in enumerate(ids) if ends[x]]
-            for w, end in zip(runs, parts, strict=True):
-                known[w] = array("I", ids[at:end]).tobytes()
-                at = end
-        for w, low, tail in plain:
-            known[w] = known[low] + known[tail]
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+    def learn(self, keys: list[str]) -> None:
+        """Add the ids of new words; letter runs are those in lower case."""
+        letters = pc.match_substring_regex(pa.array(keys, pa.string()), self.LETTERS).to_pylist()
+        runs = [k for k, plain in zip(keys, letters, strict=True) if plain and k.islower()]
+        odd = [k for k, plain in zip(keys, letters, strict=True) if not (plain and k.islower())]
+        self.known.update((k, array("I", ids).tobytes()) for k, ids in zip(odd, self.encode(odd), strict=True))
+        lines = [" ".join(runs[i : i + self.together]) for i in range(0, len(runs), self.together)]
+        ids = array("I")
+        for line in self.encode_runs(lines):
+            ids.extend(line)
+        flat = np.frombuffer(ids, "<u4") if len(ids) else np.zeros(0, "<u4")
+        raw, at = flat.tobytes(), 0
+        stops = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
+        for run, stop in zip(runs, stops, strict=True):
+            self.known[run] = raw[at:stop]
+            at = stop
+
+    def parts(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the words in a row, and how many each word has."""
         if len(self.known) > self.most:
             self.known = {"": b""}
-        fresh = list(set(words).difference(self.known))
-        if fresh:
-            self.learn(fresh)
-        out = b"".join(map(self.known.__getitem__, words))
-        for w in fresh:
-            if len(w) > self.longest:
-                self.known.pop(w, None)
-        return np.frombuffer(out, "<u4")
+        known = self.known
+        fresh = [k for k in keys if k not in known]
+        self.learn(fresh)
+        found = [known[k] for k in keys]
+        for k in fresh:
+            if len(k) > self.longest:
+                known.pop(k, None)
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the n+1 places where texts begin and end."""
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        bounds = words.offsets.to_numpy()
+        coded = words.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds, distinct = bounds - bounds[0], coded.dictionary
+        core = pc.utf8_rtrim(distinct, characters=self.MARKS)
+        plain = pc.match_substring_regex(core, self.LETTERS)
+        keys = pc.if_else(plain, pc.utf8_lower(core), distinct).dictionary_encode()
+        cut = pc.and_(plain, pc.not_equal(pc.binary_length(core), pc.binary_length(distinct)))
+        marked = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        marks = pa.array([w[len(w.rstrip(self.MARKS)) :] for w in distinct.filter(cut).to_pylist()], pa.string()).dictionary_encode()
+        low, low_sizes = self.parts(keys.dictionary.to_pylist())
+        end, end_sizes = self.parts(marks.dictionary.to_pylist())
+        # The parts of each distinct word: its key, then its marks.
+        last = len(low_sizes) + len(end_sizes)
+        pair = np.full((len(distinct), 2), last, np.int64)
+        pair[:, 0] = keys.indices.to_numpy()
+        pair[marked, 1] = len(low_sizes) + marks.indices.to_numpy()
+        sizes = np.concatenate([low_sizes, end_sizes, [0]])
+        flat = gathered(np.concatenate([low, end]), sizes, pair.reshape(-1))
+        sizes, order = sizes[pair].sum(axis=1), coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        return gathered(flat, sizes, order), ends[bounds]
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of `flat`, whose sizes are given, in another order."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[order]
+    shift = np.repeat(starts[order] - (np.cumsum(n) - n), n)
+    shift += np.arange(len(shift))
+    return flat[shift]
 
 
 #: One cache for each Python worker.
@@ -107,6 +139,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def stretches(texts: pa.Array, size: int = 4_000_000) -> list[tuple[int, int]]:
+    """Rows to take together, as first row and count: about `size` bytes of whole texts."""
+    block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    return list(zip(first.tolist(), np.diff(np.append(first, len(texts))).tolist(), strict=True))
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -116,13 +155,15 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
     def split(batches):
         words, part, seen = word_ids(tokenizer_path(tokenizer)), TaskContext.get().partitionId(), [0] * (length + 1)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(words.ids(text), np.array([end_id], "<u4"))
-                for start in range(0, len(ids), length):
-                    piece = ids[start : start + length]
-                    rows.append((doc_id, start, len(piece), crc32(piece.tobytes()), len(ids), part, seen[len(piece)]))
-                    seen[len(piece)] += 1
+            rows, docs_ids, texts = [], batch.column("doc_id").to_pylist(), batch.column("text")
+            for at, n in stretches(texts):
+                flat, bounds = words.ids(texts.slice(at, n))
+                for doc_id, low, high in zip(docs_ids[at : at + n], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = np.append(flat[low:high], np.array([end_id], "<u4"))
+                    for start in range(0, len(ids), length):
+                        piece = ids[start : start + length]
+                        rows.append((doc_id, start, len(piece), crc32(piece), len(ids), part, seen[len(piece)]))
+                        seen[len(piece)] += 1
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
