@@ -28,6 +28,7 @@ BLANK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 NEVER = np.iinfo(np.int64).max
+SLOTS = 20  # bits of the table of verdicts
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -36,6 +37,29 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Table:
+    """Sorted hashes, probed through the places where their leading bits begin."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange(2**bits + 1, dtype=np.uint64))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, or -1."""
+        lead = (hashes >> self.shift).astype(np.int64)
+        at, end = self.first[lead], self.first[lead + 1]
+        out = np.full(len(hashes), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        at, end, sought = at[live], end[live], hashes[live]
+        while len(live):
+            hit = self.keys[at] == sought
+            out[live[hit]] = at[hit]
+            on = ~hit & (at + 1 < end)
+            live, at, end, sought = live[on], at[on] + 1, end[on], sought[on]
+        return out
+
+
 class Model:
     """Pieces of a model in sorted tables. `kind` is "bpe" or "unigram"."""
 
@@ -51,19 +75,20 @@ class Model:
         self.id_of = {t: i for i, t in enumerate(self.text) if not special[i]}
         self.score = np.array([own.get_score(i) for i in ids])
         self.known = {t for t in self.id_of if len(t) == 1}
-        self.longest = max(map(len, self.id_of), default=1)
         back = {v: bytes([k]) for k, v in self.byte.items()}
         self.bytes = [back.get(i, b"" if special[i] else self.text[i].replace(BLANK, " ").encode()) for i in ids]
         whole = {t: i for t, i in self.id_of.items() if t.strip(BLANK) or len(t) == 1}  # runs of blanks: see `blanks`
-        hashes = {}
+        hashes = {}  # of all beginnings of pieces; -1 where a beginning is no piece
+        grown = {"": np.zeros(1, np.uint64)}
         for t, i in whole.items():
-            h = np.zeros(1, np.uint64)
-            for c in t:
-                h = spread(h * BASE + np.uint64(ord(c) + 1))
-            hashes[i] = h[0]
-        order = sorted(hashes, key=hashes.get)
-        self.keys = np.array([hashes[i] for i in order], np.uint64)
-        self.ids = np.array(order, np.int64)
+            for k in range(1, len(t) + 1):
+                if t[:k] not in grown:
+                    grown[t[:k]] = h = spread(grown[t[: k - 1]] * BASE + np.uint64(ord(t[k - 1]) + 1))
+                    hashes[int(h[0])] = -1
+            hashes[int(grown[t][0])] = i
+        order = sorted(hashes)
+        self.beginnings = Table(np.array(order, np.uint64))
+        self.ids = np.array([hashes[h] for h in order], np.int64)
         if kind == "bpe":
             self.link(whole)
 
@@ -79,8 +104,11 @@ class Model:
                 a, b = whole.get(t[:cut]), whole.get(t[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.verdicts = np.full(2**SLOTS, np.iinfo(np.int64).min)
+        keys = spread(np.array(list(pairs), np.uint64))  # spread is one to one
+        order = np.argsort(keys)
+        self.pairs = Table(keys[order])
+        self.pair_ids = np.array(list(pairs.values()), np.int64)[order]
         self.left, self.right = np.full(self.size, -1), np.full(self.size, -1)
         self.own = np.zeros(self.size, bool)
         for i in sorted(whole.values(), key=lambda i: len(self.text[i])):
@@ -105,13 +133,25 @@ class Model:
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the piece that a and b make, or NEVER."""
-        if not len(self.pair_keys):
-            return np.full(len(a), NEVER)
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.rank[self.pair_ids[at]], NEVER)
+        at = self.pairs.find(spread((a * self.size + b).astype(np.uint64)))
+        out = np.full(len(a), NEVER)
+        hit = np.flatnonzero(at >= 0)
+        out[hit] = self.rank[self.pair_ids[at[hit]]]
+        return out
 
     def parted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`judged` of each pair; the same pairs come again and again, so a table of fixed size holds verdicts."""
+        key = a * self.size + b
+        slot = (spread(key.astype(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        cell = self.verdicts[slot]
+        out = cell & 1 == 1
+        miss = np.flatnonzero(cell >> 1 != key)
+        if len(miss):
+            out[miss] = found = self.judged(a[miss], b[miss])
+            self.verdicts[slot[miss]] = key[miss] * 2 + found
+        return out
+
+    def judged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves the boundary between pieces a and b.
 
         Going back in time from both whole pieces, the younger one is taken apart at the boundary; a merge across
@@ -133,27 +173,28 @@ class Model:
             todo, a, b, next_a, next_b = todo[more], a[more], b[more], next_a[more], next_b[more]
         return out
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
-
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids, as bytes of unsigned 32-bit numbers, of words of equal length made of known characters."""
         n, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
         last, length = np.full((n, size + 1), -1, np.int64), np.zeros((n, size + 1), np.int32)
         total = np.full((n, size + 1), -np.inf)
         total[:, 0] = 0
-        # hashes of the substrings by their start, extended by one character in each round
-        running: dict[int, np.ndarray] = {}
+        # words whose substring from some start on still begins a piece, with its hash, extended in each round
+        running: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for j in range(1, size + 1):
-            running[j - 1] = np.zeros(n, np.uint64)
-            running.pop(j - 1 - self.longest, None)
-            for start, h in running.items():
-                running[start] = h = spread(h * BASE + (codes[:, j - 1] + np.uint64(1)))
-                piece = self.find(h)
-                rows = np.flatnonzero(piece >= 0)
-                p = piece[rows]
+            running[j - 1] = np.arange(n), np.zeros(n, np.uint64)
+            for start, (rows, h) in list(running.items()):
+                h = spread(h * BASE + codes[j - 1][rows])
+                at = self.beginnings.find(h)
+                on = np.flatnonzero(at >= 0)
+                if not len(on):
+                    del running[start]
+                    continue
+                rows, piece = rows[on], self.ids[at[on]]
+                running[start] = rows, h[on]
+                whole = piece >= 0
+                rows, p = rows[whole], piece[whole]
                 if self.kind == "bpe":
                     fits = self.own[p]
                     rows, p = rows[fits], p[fits]
@@ -197,10 +238,13 @@ class Encoder:
         return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
     def learn(self, units: set[str]) -> None:
-        model, parts, by_size = self.model, {}, {}
+        model, parts, by_size, plain = self.model, {}, {}, {}
         for u in units:
             word = u.lstrip(BLANK)
             runs = len(u) - len(word)
+            if word and runs == 1 and model.known.issuperset(u):
+                plain.setdefault(len(u), []).append(u)
+                continue
             if not word:
                 self.known[u] = model.blanks(runs)
                 continue
@@ -217,12 +261,13 @@ class Encoder:
             for x in cut:
                 if len(x) > 1 or x in model.known:
                     by_size.setdefault(len(x), {})[x] = None
-        ids = {}
-        for size, words in by_size.items():
-            words = list(words)
-            step = max(1, 4_000_000 // (size + 1))
-            for i in range(0, len(words), step):
-                ids.update(zip(words[i : i + step], model.viterbi(words[i : i + step]), strict=True))
+        ids: dict[str, bytes] = {}
+        for found, groups in ((self.known, plain), (ids, by_size)):
+            for size, words in groups.items():
+                words = list(words)
+                step = max(1, 4_000_000 // (size + 1))
+                for i in range(0, len(words), step):
+                    found.update(zip(words[i : i + step], model.viterbi(words[i : i + step]), strict=True))
         first = np.array([model.id_of.get(BLANK, 0)], "<u4").tobytes()
         for u, (runs, cut) in parts.items():
             found = [ids[x] if x in ids else np.array([model.byte[b] for b in x.encode()], "<u4").tobytes() for x in cut]
@@ -234,14 +279,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out, at = [], 0
         while at < len(texts):
-            end, size, fresh = at, 0, set()
+            end, size, held = at, 0, []
             while end < len(texts) and size < 4_000_000:
-                fresh.update(set(self.units(texts[end])).difference(self.known))
+                held.append(self.units(texts[end]))
                 size += len(texts[end])
                 end += 1
-            self.learn(fresh)
-            for text in texts[at:end]:
-                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, self.units(text))), "<u4"))
+            self.learn(set().union(*held).difference(self.known))
+            for units in held:
+                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4"))
             if len(self.known) > self.most:
                 self.known = {}
             at = end
