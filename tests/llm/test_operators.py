@@ -229,3 +229,27 @@ def test_classifiers(spark, docs, empty):
         assert rows["score"].between(0, 1).all()
         assert report(docs, labels.limit(0)).count() == len(ROWS)
         assert report(empty, labels).count() == 0
+
+
+def test_word_ids_equal_the_library_on_odd_words():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own = packing.WordIds(public_tokenizers.path(packing.TOKENIZER), together=3)
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["", "\n", " ", "A.", "A..b", "Straße!", "İstanbul", "it's don't", "<|endoftext|>x a<|startoftext|>", "é É.", "é ú.", "µª", "ÿ?"]
+    texts += ["ÀÉ,;", "x\ty", "ÄÖ!?..", "日本語。 1234 a1b2", "\x00a", "one two three four five Six, seven. eight", "word " * 5000]
+    for _ in range(2):  # learnt, then known
+        flat, bounds = own.ids(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_table_finds_all_keys_and_no_other():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        table = pieces.Table(keys)
+        assert table.find(keys).tolist() == list(range(len(keys)))
+        assert (table.find(keys - np.uint64(1)) == -1).all() and (table.find(np.array([0, 2**64 - 2], np.uint64)) == -1).all()
