@@ -21,3 +21,12 @@ def spread(values: pd.Series) -> float:
 def share_of_group(rows: pd.DataFrame) -> pd.DataFrame:
     """Each value's share of its group's sum, for applyInPandas."""
     return rows.assign(share=rows["value"] / rows["value"].sum())[["user_id", "event_id", "share"]]
+
+
+@F.udtf(returnType="word string, place int")
+class Words:
+    """A table function: the words of a name with their places."""
+
+    def eval(self, name: str):
+        for place, word in enumerate((name or "").split(" ")):
+            yield word, place

@@ -149,6 +149,27 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.distinct_events(spark, sf_dir)
 
 
+@frame("p74_stream_session", SQL["p72_session"][1])
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.sessions(spark, sf_dir)
+
+
+@frame("p77_stream_state", "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY user_id")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.running_totals(spark, sf_dir)
+
+
+@frame("p79_stream_static_join", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")
+def stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.with_segment(spark, sf_dir)
+
+
+@frame("p82_table_function", "SELECT p_partkey, word, CAST(place - 1 AS INTEGER) AS place FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part)")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return part.lateralJoin(udfs.Words(F.col("p_name").outer())).select("p_partkey", "word", "place")
+
+
 @frame("p80_pandas_udf", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) AS gross FROM lineitem")
 def arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(udfs.with_tax("l_extendedprice", "l_tax"), 4).alias("gross"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.sources.tables import scratch, table
 
@@ -46,3 +50,30 @@ def purchases_after_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = both.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("t2"))
     joined = a.join(b, F.expr("u = user_id AND t2 > t AND t2 <= t + INTERVAL 1 HOUR"))
     return drained(joined.select("view_id", "purchase_id", "user_id"), "append", "pairs")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user with gaps under 30 minutes are one session."""
+    counts = stream(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    return drained(counts, "complete", "sessions").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream joined with a table; no state is kept."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return drained(stream(spark, sf_dir).select("event_id", "user_id").join(customers, "user_id"), "append", "segments").select("event_id", "c_mktsegment")
+
+
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user so far and the highest value, as state of our own; the last row of a user counts."""
+
+    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, top = state.get if state.exists else (0, float("-inf"))
+        for rows in chunks:
+            n, top = n + len(rows), max(top, float(rows["value"].max()))
+        state.update((n, top))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
+
+    grouped = stream(spark, sf_dir).select("user_id", "value").groupBy("user_id")
+    totals = grouped.applyInPandasWithState(advance, "user_id long, n long, top double", "n long, top double", "update", GroupStateTimeout.NoTimeout)
+    return drained(totals, "update", "totals").groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
