@@ -209,6 +209,21 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rare_links_are_audited(spark, monkeypatch):
+    """Where hardly any vector has a link and the tables find none, the audit goes on until it has seen them."""
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((4000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    side = draw.standard_normal(64)
+    side -= (side @ x[0]) * x[0]
+    x[1] = 0.905 * x[0] + np.sqrt(1 - 0.905**2) * side / np.sqrt(side @ side)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    first, meet = neighbours.first_graph, neighbours.introduce
+    monkeypatch.setattr(neighbours, "first_graph", lambda *a: first(*a).where(F.col("sim") < neighbours.LINK))
+    monkeypatch.setattr(neighbours, "introduce", lambda *a: meet(*a).where(F.col("sim") < neighbours.LINK))
+    assert {r.vec_id: r.n_links for r in neighbours.near_vectors(df).where("n_links > 0").collect()} == {0: 1, 1: 1}
+
+
 def test_top_k(spark):
     rows, df = vectors(spark)
     q = {i: np.floor(64 * np.array(v)) for i, v in rows if i < 902 and v is not None}

@@ -3,8 +3,10 @@
 Equal vectors are one node. A first neighbour graph comes from a few tables of random-hyperplane codes; then, round
 by round, every node introduces its neighbours (both ways) to each other, and each keeps the nearest. A list
 holds a few neighbours for navigation; as soon as it is saturated with links it is enlarged, so no link is ever
-pushed out. After the rounds settle, recall is audited by comparing some nodes with all vectors; while
-it is below the target, more tables are added. Similarities are computed in double precision from the vectors as they are.
+pushed out. The number of tables follows the length of the codes, so that a pair at the limit is likely to share one.
+After the lists settle, recall is audited by comparing nodes with all vectors, until LINKED nodes with links have
+been seen or all nodes compared; what the audit finds joins the graph. While recall is below the target, more tables are added,
+and after that all nodes are compared block by block. Similarities are computed in double precision from the vectors as they are.
 
 Vectors that are null, zero or hold null or non-finite components, or are of another length than most, link with
 nothing; rows without an id are dropped. Equal vectors link with each other. Of ties the smaller id goes first.
@@ -22,8 +24,9 @@ from weftline.llm.components import components
 
 LINK = 0.9
 KEEP, MEET = 6, 32  # neighbours kept for navigation; neighbours that a node introduces in a round
-TABLES, BUCKET = 12, 64
-TARGET, AUDITED = 0.97, 400
+TABLES, BUCKET, MISSED = 12, 64, 1e-3  # least number of tables; chance that a pair at the limit shares no code
+TARGET, AUDITED, LINKED = 0.97, 400, 400
+BLOCK, STRIP = 16_384, 512  # nodes of a block, and how many of them meet another block at once
 EDGE = "u long, v long, sim double"
 
 
@@ -48,12 +51,22 @@ def nodes_of(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(sound).groupBy("vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
 
 
+def code_bits(n: int) -> int:
+    return max(1, round(np.log2(max(2, n / 24))))
+
+
+def table_count(n: int) -> int:
+    """Tables after which a pair at the limit has shared a code but for a chance of MISSED."""
+    shared = (1 - np.arccos(LINK) / np.pi) ** code_bits(n)
+    return max(TABLES, int(np.ceil(np.log(MISSED) / np.log1p(-shared))))
+
+
 def first_graph(nodes: DataFrame, n: int, width: int, tables: range, seed: int = 5) -> DataFrame:
     """Edges between nodes that share a code, the nearest few of each in each table.
 
     A code that many nodes share is split at random into parts of bounded size.
     """
-    bits = max(1, round(np.log2(max(2, n / 24))))
+    bits = code_bits(n)
 
     def code(batches):
         planes = {t: np.random.default_rng((seed, t)).standard_normal((width, bits)) for t in tables}
@@ -84,7 +97,7 @@ def first_graph(nodes: DataFrame, n: int, width: int, tables: range, seed: int =
 
     coded = nodes.select("node", "vec").mapInArrow(code, nodes.select("node", "vec").schema.simpleString().removeprefix("struct<").removesuffix(">") + ",code:bigint")
     sizes = coded.groupBy("code").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / (4 * BUCKET)).cast("long"))
-    dealt = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("size", "parts")
+    dealt = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("node", "code"), F.col("parts"))).drop("size", "parts")
     shards = max(1, n * len(tables) // 20_000)
     return dealt.withColumn("shard", F.pmod(F.xxhash64("code", "part"), F.lit(shards))).groupBy("shard").applyInArrow(pairs, EDGE)
 
@@ -123,42 +136,69 @@ def introduce(graph: DataFrame, nodes: DataFrame, n: int, turn: int) -> DataFram
     return rows.groupBy("shard").applyInArrow(meet, EDGE)
 
 
-def audit(graph: DataFrame, nodes: DataFrame) -> float:
-    """Share of the links of AUDITED nodes that the graph has, by comparing these nodes with all vectors."""
-    some = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "vec").toPandas()
-    if some.empty:
-        return 1.0
-    ids, x = some["node"].to_numpy(), np.stack(some["vec"]).astype(np.float64)
-    norm = np.sqrt((x * x).sum(1))
+def true_links(some: DataFrame, nodes: DataFrame, n_some: int, n: int) -> DataFrame:
+    """Edges of all links of `some`, by comparing them with all nodes, block by block."""
+    size = min(BLOCK, max(STRIP, n // 8))
+    rows, columns = -(-n_some // size), -(-n // size)
+    left = some.select("node", "vec", F.pmod(F.xxhash64("node"), F.lit(rows)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("q"))
+    right = nodes.select("node", "vec", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("p"), F.pmod(F.xxhash64("node"), F.lit(columns)).cast("int").alias("q"))
 
-    def count(batches):
-        for batch in batches:
-            y = matrix(pa.chunked_array([batch.column("vec")])) if batch.num_rows else np.zeros((0, x.shape[1]))
-            s = (x @ y.T) / (norm[:, None] * np.sqrt((y * y).sum(1))[None, :])
-            a, b = np.nonzero(s >= LINK)
-            other = batch.column("node").to_numpy()[b]
-            own = ids[a] != other
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a][own], pa.int64()), pa.array(other[own], pa.int64())], ["u", "v"])
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return edge_table([], [], [])
+        x, y, ids, others = matrix(left["vec"]), matrix(right["vec"]), left["node"].to_numpy(), right["node"].to_numpy()
+        norm, out = np.sqrt((y * y).sum(1)), []
+        for at in range(0, len(x), STRIP):
+            own = x[at : at + STRIP]
+            s = (own @ y.T) / (np.sqrt((own * own).sum(1))[:, None] * norm[None, :])
+            a, b = np.nonzero((s >= LINK) & (ids[at : at + STRIP, None] != others[None, :]))
+            out.append((ids[at + a], others[b], s[a, b]))
+        return edge_table(*map(np.concatenate, zip(*out, strict=True)))
 
-    true = materialize(nodes.select("node", "vec").mapInArrow(count, "u long, v long"), "audit")
-    n = true.count()
-    return true.join(graph, ["u", "v"], "left_semi").count() / n if n else 1.0
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(compare, EDGE)
+
+
+def audit(graph: DataFrame, nodes: DataFrame, n: int) -> tuple[float, DataFrame, bool]:
+    """Recall of the graph over audited nodes, their true links, and whether these are all nodes.
+
+    Nodes are added until LINKED of them have links. Recall is the lesser of the share of links found and of the mean of
+    this share over linked nodes, so that large groups of links do not hide what single pairs lose.
+    """
+    audited = min(n, AUDITED)
+    while True:
+        some = nodes if audited == n else nodes.orderBy(F.xxhash64("node"), "node").limit(audited)
+        true = materialize(true_links(some, nodes, audited, n), "audit")
+        found = true.select("u", "v").join(graph.select("u", "v", F.lit(1).alias("found")), ["u", "v"], "left")
+        share = found.groupBy("u").agg(F.count("*").alias("n"), F.count("found").alias("found"))
+        seen = share.agg(F.count("*").alias("linked"), F.sum("n").alias("n"), F.sum("found").alias("found"), F.avg(F.col("found") / F.col("n")).alias("mean")).first()
+        if audited == n or seen["linked"] >= LINKED:
+            return min(seen["found"] / seen["n"], seen["mean"]) if seen["linked"] else 1.0, true, audited == n
+        # As many as the links seen let expect, and half as many again.
+        audited = min(n, max(2 * audited, 3 * audited * LINKED // (2 * max(1, seen["linked"]))))
 
 
 def neighbour_graph(nodes: DataFrame, n: int, width: int) -> DataFrame:
-    tables, graph, turn = TABLES, None, 0
-    new = range(TABLES)
+    """Edges that hold at least TARGET of all links, as audited; all links where every node was compared."""
+    least = tables = table_count(n)
+    graph, turn, new = None, 0, range(least)
     while True:
         edges = first_graph(nodes, n, width, new)
         graph = materialize(nearest(edges if graph is None else graph.unionByName(edges)), "graph")
         links = graph.where(F.col("sim") >= LINK).count()
         while True:
             turn += 1
-            graph = materialize(nearest(graph.unionByName(introduce(graph, nodes, n, turn))), "graph")
-            before, links = links, graph.where(F.col("sim") >= LINK).count()
-            if links <= 1.005 * before:
+            before, graph = graph, materialize(nearest(graph.unionByName(introduce(graph, nodes, n, turn))), "graph")
+            fresh = graph.join(before, ["u", "v"], "left_anti").agg(F.count("*").alias("n"), F.count_if(F.col("sim") >= LINK).alias("links")).first()
+            links += fresh["links"]
+            if fresh["links"] <= 0.005 * links and fresh["n"] - fresh["links"] <= 0.001 * KEEP * n:
                 break
-        if audit(graph, nodes) >= TARGET or tables >= 8 * TABLES:
+        recall, true, whole = audit(graph, nodes, n)
+        if not whole and recall < TARGET and tables >= 8 * least:
+            true, whole = materialize(true_links(nodes, nodes, n, n), "links-all"), True
+        if whole:
+            return true
+        graph = graph.unionByName(true)
+        if recall >= TARGET:
             return graph
         new = range(tables, 2 * tables)
         tables *= 2
