@@ -153,6 +153,14 @@ def test_contexts_find_new_identifiers(spark):
     assert found[99] == f"email:{start}:{start + len('user99-at-mail')}"
 
 
+def test_contexts_hold_when_rows_are_repeated(spark):
+    texts = [f"some words contact: user{i}@mail.example.com and more" for i in range(12)] + ["other words contact: user99-at-mail here"]
+    rows = [(i + 100 * k, t) for k in range(4) for i, t in enumerate(texts)]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    start = texts[-1].index("user99")
+    assert {found[12 + 100 * k] for k in range(4)} == {f"email:{start}:{start + len('user99-at-mail')}"}
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

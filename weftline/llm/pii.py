@@ -3,8 +3,8 @@
 Base spans come from one pattern for each kind, leftmost and non-overlapping, and are then checked (parts of
 an address, length and Luhn sum of a card, digits of a phone number). Bootstrapping looks at every token with
 a digit or an at sign ("mention") and the word before it ("context"). Contexts and mentions form a graph. A
-context's confidence is the confidence mass of its distinct mentions, over all occurrences of that word in
-the corpus; a mention takes the confidence of its best context; seeds keep 1. After a few rounds,
+context's confidence is the confidence mass of its mentions, each as often as it occurs, over all occurrences of that word
+in the corpus, so copies change nothing; a mention takes the confidence of its best context; seeds keep 1. After a few rounds,
 confident contexts with enough distinct seeds turn their other mentions into spans of their main kind.
 
 Null and empty texts have no spans. Repeated rows get the same spans each. Other columns are ignored by
@@ -137,9 +137,9 @@ def confident_contexts(found: DataFrame, docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         contexts = (
             scored.groupBy("context")
-            .agg(F.sum("trust").alias("mass"), F.count("*").alias("distinct"), F.sum("n").alias("n"), F.sum(seed).alias("seeds"), F.mode("kind").alias("main"))
+            .agg(F.sum(F.col("trust") * F.col("n")).alias("mass"), F.sum("n").alias("n"), F.sum(seed).alias("seeds"), F.mode("kind").alias("main"))
             .join(totals, "context")
-            .withColumn("sure", F.col("mass") / F.greatest("distinct", "total") * F.least(F.lit(1.0), F.col("seeds") / LEAST_SEEDS))
+            .withColumn("sure", F.col("mass") / F.greatest("n", "total") * F.least(F.lit(1.0), F.col("seeds") / LEAST_SEEDS))
         )
         tokens = scored.join(contexts.select("context", "sure"), "context").groupBy("token").agg(F.max("sure").alias("best"))
         scored = edges.join(tokens, "token", "left").withColumn("trust", F.greatest(seed, F.coalesce("best", F.lit(0.0)))).drop("best")
