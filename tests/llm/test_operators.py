@@ -161,6 +161,16 @@ def test_contexts_hold_when_rows_are_repeated(spark):
     assert {found[12 + 100 * k] for k in range(4)} == {f"email:{start}:{start + len('user99-at-mail')}"}
 
 
+def test_contexts_of_phones_and_long_contexts(spark):
+    long = "x" * 240
+    texts = [f"some words dial: +1 (0{i}) 555-77{i} and more" for i in range(10, 22)] + ["other words dial: (017) 555-7713, or so"]
+    texts += [f"we {long}: u{i}@mail.example.com, yes" for i in range(12)] + [f"or {long}: user99-at-mail here"]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, kind, new in ((12, "phone", "(017) 555-7713"), (25, "email", "user99-at-mail")):
+        start = texts[i].index(new)
+        assert found[i] == f"{kind}:{start}:{start + len(new)}"
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

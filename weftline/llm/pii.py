@@ -1,8 +1,9 @@
 """Personal data: fixed patterns as seeds, and contexts learnt from them by bootstrapping. DataFrame functions only.
 
 Base spans come from one pattern for each kind, leftmost and non-overlapping, and are then checked (parts of
-an address, length and Luhn sum of a card, digits of a phone number). Bootstrapping looks at every token with
-a digit or an at sign ("mention") and the word before it ("context"). Contexts and mentions form a graph. A
+an address, length and Luhn sum of a card, digits of a phone number). Bootstrapping looks at every whole base span,
+and elsewhere at every token with a digit or an at sign and every number written in groups ("mention"), and at the
+word before it ("context"). Mentions are told apart by their value, numbers by their digits. Contexts and mentions form a graph. A
 context's confidence is the confidence mass of its mentions, each as often as it occurs, over all occurrences of that word
 in the corpus, so copies change nothing; a mention takes the confidence of its best context; seeds keep 1. After a few rounds,
 confident contexts with enough distinct seeds turn their other mentions into spans of their main kind.
@@ -34,6 +35,11 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9
 # A token for bootstrapping: holds a digit or an at sign, and no blank, quote, bracket, separator or equals sign.
 TOKEN = r"[^\s\"'<>()\[\]{},;:|=]"
 MENTION = rf"(?<!{TOKEN})(?:(?![0-9@]){TOKEN})*+[0-9@]{TOKEN}*+"
+# Groups of digits as numbers are written, with blanks and brackets between; as many groups as a phone has digits.
+NUMBER = rf"(?<!{TOKEN})(?:\+|\((?=[0-9]{{1,5}}\)[\x20.-]?[0-9]))?+[0-9]++(?:[\x20().-]{{1,3}}[0-9]++){{0,14}}+(?![./@_%+-]{{0,5}}[\p{{L}}\p{{N}}@])"
+CANDIDATE = rf"{NUMBER}|{MENTION}"
+#: Characters before a mention in which its context is looked for first; where a word fills them, all text before it is used.
+NEAR = 200
 
 SPAN = "array<struct<s:int,e:int,t:string>>"
 ROUNDS, CONFIDENT, LEAST_SEEDS, LEAST_LENGTH = 3, 0.8, 5, 6
@@ -103,22 +109,47 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["s"], x["e"])))
 
 
+def word_before(text: Column, s: Column) -> Column:
+    """The whole word before a place, in lower case; empty where there is none."""
+
+    def last(before: Column) -> Column:
+        return F.regexp_extract(F.reverse(before), r"^[\s\"'=:]*+([^\s\"'=:]*+)", 1)
+
+    near = F.substring(text, F.greatest(s - NEAR, F.lit(0)) + 1, F.least(s, F.lit(NEAR)))
+    ends = (s <= NEAR) | near.rlike(r"^[^\s\"'=:]*+[\s\"'=:]++[^\s\"'=:]")
+    return F.lower(F.reverse(F.when(ends, last(near)).otherwise(last(F.substring(text, F.lit(1), s)))))
+
+
+def value(t: Column, ip: Column) -> Column:
+    """What tells mentions apart: digits (and a leading plus) of a number that is no address, else the text in lower case."""
+    return F.when(~ip & t.rlike(r"^[+0-9().\x20-]++$"), F.regexp_replace(t, r"[().\x20-]", "")).otherwise(F.lower(t))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """One row for each mention: key of its row, place, token, context, and the kind where a base span overlaps it."""
+    """One row for each mention: key of its row, place, value, context, and its kind where it is a base span.
+
+    A base span inside another one and a token that overlaps a base span are no mentions.
+    """
     t = F.col("text")
-    own = with_base(docs.where(t.rlike("[0-9@]"))).select("doc_id", "text", base_spans().alias("base"), F.xxhash64("text").alias("text_hash"))
-    spans = own.select(
-        "doc_id", "text_hash", "base", matches(t, MENTION).alias("spans"), F.split(t, MENTION, -1).alias("gaps")
-    ).select(
-        "doc_id", "text_hash", "base",
-        F.posexplode(F.zip_with("spans", F.slice("gaps", F.lit(1), F.size("spans")), lambda x, g: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), F.substring(g, -60, 60).alias("g")))).alias("i", "x"),
-    )
-    hit = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
-    return spans.select(
-        "doc_id", "text_hash", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lower("x.t").alias("token"),
-        F.lower(F.regexp_extract("x.g", r"([^\s\"'=:]{1,30})[\s\"'=:]*$", 1)).alias("context"),
-        F.when(F.size(hit) > 0, hit[0]["k"]).alias("kind"),
-    )
+    own = with_base(docs.where(t.rlike("[0-9@]"))).select("doc_id", "text", base_spans().alias("base"), matches(t, CANDIDATE).alias("tokens"))
+
+    def inside(x: Column, y: Column) -> Column:
+        wider = (y["e"] - y["s"] > x["e"] - x["s"]) | ((y["e"] - y["s"] == x["e"] - x["s"]) & (y["k"] < x["k"]))
+        return (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & wider
+
+    outer = F.filter("base", lambda x: ~F.exists("base", lambda y: inside(x, y)))
+    free = F.filter("tokens", lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"])))
+    places = F.concat(
+        F.transform(outer, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))),
+        F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(None).cast("int").alias("k"))),
+    )
+
+    def full(x: Column) -> Column:
+        ip = F.coalesce(x["k"] == KINDS.index("ip"), F.lit(False))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("kind"), value(F.substring(t, x["s"] + 1, x["e"] - x["s"]), ip).alias("token"), word_before(t, x["s"]).alias("context"))
+
+    spans = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.transform(places, full)).alias("x"))
+    return spans.select("doc_id", "text_hash", "x.s", "x.e", "x.token", "x.context", "x.kind")
 
 
 def confident_contexts(found: DataFrame, docs: DataFrame) -> DataFrame:
