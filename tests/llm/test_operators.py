@@ -227,6 +227,12 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_two_lengths(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(5)] + [(10, [1.0, 0.0]), (11, [1.0, 0.1]), (12, [0.0, 1.0]), (13, [0.0, 1.0])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [found[i] for i in (10, 11, 12, 13)] == [(1, 10), (1, 10), (1, 12), (1, 12)]
+
+
 def test_rare_links_are_audited(spark, monkeypatch):
     """Where hardly any vector has a link and the tables find none, the audit goes on until it has seen them."""
     draw = np.random.default_rng(4)

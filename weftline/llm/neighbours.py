@@ -8,8 +8,8 @@ After the lists settle, recall is audited by comparing nodes with all vectors, u
 been seen or all nodes compared; what the audit finds joins the graph. While recall is below the target, more tables are added,
 and after that all nodes are compared block by block. Similarities are computed in double precision from the vectors as they are.
 
-Vectors that are null, zero or hold null or non-finite components, or are of another length than most, link with
-nothing; rows without an id are dropped. Equal vectors link with each other. Of ties the smaller id goes first.
+Vectors that are null, zero or hold null or non-finite components link with nothing; vectors link
+only with others of their length; rows without an id are dropped. Equal vectors link with each other. Of ties the smaller id goes first.
 """
 
 from __future__ import annotations
@@ -206,12 +206,13 @@ def neighbour_graph(nodes: DataFrame, n: int, width: int) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
-    width = vectors.groupBy(F.size(f"`{vector_col}`").alias("w")).count().where("w > 0").orderBy(F.col("count").desc(), "w").limit(1).collect()
-    width = width[0]["w"] if width else 1
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vec")).where(F.col("vec_id").isNotNull())
-    nodes = materialize(nodes_of(rows.where(F.size("vec") == width), "vec_id", "vec"), "vectors")
-    n = nodes.count()
-    found = neighbour_graph(nodes, n, width) if n > 1 else None
+    nodes = materialize(nodes_of(rows, "vec_id", "vec"), "vectors")
+    found = None
+    for width, n in sorted(map(tuple, nodes.groupBy(F.size("vec")).count().collect())):
+        if n > 1:
+            own = neighbour_graph(nodes.where(F.size("vec") == width), n, width)
+            found = own if found is None else found.unionByName(own)
     own = nodes.select("vec", "node", "copies")
     if found is None:
         joined = own.withColumn("near", F.lit(0).cast("long")).withColumn("label", F.col("node"))
