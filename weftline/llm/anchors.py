@@ -185,7 +185,7 @@ def deduplicate(docs: DataFrame, method: Method, extra: list[str] | None = None)
         if len(keys):
             splitters = np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]])
 
-    by_group = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    by_group = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def announce(table: pa.Table) -> pa.Table:
         own, g = Group(table, method, splitters), table["g"][0].as_py()

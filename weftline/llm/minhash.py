@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.anchors import MULTIPLIER, mixed
-from weftline.llm.common import NO_ID, id_and_text, materialize
+from weftline.llm.common import NO_ID, id_and_text, materialize, unwrapped, wrapped
 from weftline.llm.components import components
 from weftline.llm.fmindex import read
 
@@ -247,6 +247,6 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` that stay: of each class those with its smallest id. Rows without an id stay."""
-    names = docs.columns
-    gone = classes(docs, similar).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*names)
+    gone = classes(docs, similar).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")).distinct()
+    rows = wrapped(docs)
+    return unwrapped(rows.join(gone, rows["doc_id"] == gone["gone"], "left_anti"), docs.columns)

@@ -1,13 +1,14 @@
 """Packing of token pieces into sequences: shortest-pack-first over the length histogram.
 
 Texts are tokenised by their distinct words (the tokenizer never joins across blanks), each word once per
-worker as long as the bounded cache holds it. A document's ids, with an end id, are cut into pieces of at most
+task as long as the cache of a few MB holds it. A document's ids, with an end id, are cut into pieces of at most
 the sequence length. The histogram of piece lengths, at most that many numbers, goes to the driver, which
 places lengths longest first into the emptiest open packing pattern, updating pattern counts. A piece finds
 its sequence by its rank among pieces of its length, without any shuffle of texts or ids.
 
-Null and empty texts are one piece that holds the end id. Repeated rows are packed each. Other columns are
-ignored. An empty table gives no piece.
+Null and empty texts are one piece that holds the end id; a text of any length is cut into as many pieces as it takes.
+Null ids stay null, repeated rows are packed each. Pieces of equal length are interchangeable: which of them goes where
+follows tasks and rows. Other columns, whatever their names, are ignored. An empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import id_and_text, materialize
+from weftline.llm.common import id_and_text, materialize, stretches
 
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes that a word in the cache takes besides its letters and ids.
+ENTRY = 180
 
 
 class WordIds:
-    """Ids of texts by their distinct words, with a bounded cache of ids as bytes of unsigned 32-bit numbers.
+    """Ids of texts by their distinct words, with a cache of ids as bytes of unsigned 32-bit numbers.
+
+    The cache is dropped when it takes about `most` bytes, and by `forget`.
 
     A word made of Latin letters and closing marks is looked up as its lower-case letters and its marks. New letter
     runs are encoded many at a time by the same model without the steps that leave such runs as they are,
@@ -43,7 +48,7 @@ class WordIds:
     MARKS = ".,;:!?"
     LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
-    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64, together: int = 100):
+    def __init__(self, path: str, most: int = 24_000_000, longest: int = 64, together: int = 100):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
@@ -57,7 +62,11 @@ class WordIds:
         for piece, i in whole.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
         self.most, self.longest, self.together = most, longest, together
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def learn(self, keys: list[str]) -> None:
         """Add the ids of new words; letter runs are those in lower case."""
@@ -78,8 +87,8 @@ class WordIds:
 
     def parts(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the words in a row, and how many each word has."""
-        if len(self.known) > self.most:
-            self.known = {"": b""}
+        if self.held > self.most:
+            self.forget()
         known = self.known
         fresh = [k for k in keys if k not in known]
         self.learn(fresh)
@@ -87,6 +96,8 @@ class WordIds:
         for k in fresh:
             if len(k) > self.longest:
                 known.pop(k, None)
+            else:
+                self.held += ENTRY + len(k) + len(known[k])
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +134,7 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarr
     return flat[shift]
 
 
-#: One cache for each Python worker.
+#: One tokenizer for each Python worker; its cache lasts for a task.
 _words: dict[str, WordIds] = {}
 
 
@@ -139,13 +150,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def stretches(texts: pa.Array, size: int = 4_000_000) -> list[tuple[int, int]]:
-    """Rows to take together, as first row and count: about `size` bytes of whole texts."""
-    block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // size
-    first = np.flatnonzero(np.diff(block, prepend=-1))
-    return list(zip(first.tolist(), np.diff(np.append(first, len(texts))).tolist(), strict=True))
-
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -167,6 +171,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
+        words.forget()
 
     return id_and_text(docs).mapInArrow(split, PIECES)
 

@@ -8,7 +8,9 @@ boundary between it and the piece before it. Exactly one candidate does, so the
 ids of byte-pair merging.
 
 Null and empty texts have no ids. Characters outside the vocabulary become byte pieces. Very long words
-and texts are encoded whole. Repeated rows are encoded alike; other columns are ignored.
+and texts are encoded whole. Repeated rows are encoded alike, null ids stay null, an empty table has no rows; other
+columns, whatever their names, are ignored. Of unigram candidates with equal sums the longer last piece counts.
+A text that holds U+2581 itself decodes to a blank there.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 NEVER = np.iinfo(np.int64).max
 SLOTS = 20  # bits of the table of verdicts
+ENTRY = 180  # bytes that a word in the cache takes besides its letters and ids
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -227,11 +230,15 @@ class Model:
 
 
 class Encoder:
-    """Words to ids with a bounded cache."""
+    """Words to ids with a cache, which is dropped when it takes about `most` bytes, and by `forget`."""
 
-    def __init__(self, model: Model, most: int = 800_000):
+    def __init__(self, model: Model, most: int = 48_000_000):
         self.model, self.most = model, most
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def units(self, text: str) -> list[str]:
         """Blanks and the word behind them; a text starts with one blank more."""
@@ -284,11 +291,13 @@ class Encoder:
                 held.append(self.units(texts[end]))
                 size += len(texts[end])
                 end += 1
-            self.learn(set().union(*held).difference(self.known))
+            fresh = set().union(*held).difference(self.known)
+            self.learn(fresh)
+            self.held += sum(ENTRY + len(u) + len(self.known[u]) for u in fresh)
             for units in held:
                 out.append(np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4"))
-            if len(self.known) > self.most:
-                self.known = {}
+            if self.held > self.most:
+                self.forget()
             at = end
         return out
 
@@ -319,6 +328,7 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
             sizes = np.cumsum([0, *map(len, ids)])
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["doc_id", "ids"])
+        encoder(model, kind).forget()
 
     return id_and_text(docs).mapInArrow(apply, "doc_id long, ids array<int>")
 
@@ -349,5 +359,6 @@ def round_trip(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFr
                 pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "same"])
+        encoder(model, kind).forget()
 
     return id_and_text(docs).mapInArrow(apply, "doc_id long, n_ids long, ids_crc32 long, same boolean")

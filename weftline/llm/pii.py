@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import id_and_text, materialize
+from weftline.llm.common import id_and_text, materialize, unwrapped, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -190,10 +190,10 @@ def discovered(docs: DataFrame) -> DataFrame:
 
 def with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
     """Add `extra` (empty where nothing was discovered) to rows that have doc_id and text_hash; null ids match null ids."""
-    other = extra.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "extra")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    other = extra.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"), "extra")
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash"))
     none = F.array().cast("array<struct<k:int,s:int,e:int>>")
-    return rows.join(other, same, "left").drop("_id", "_hash").withColumn("extra", F.coalesce("extra", none))
+    return rows.join(other, same, "left").drop("other_id", "other_hash").withColumn("extra", F.coalesce("extra", none))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -208,10 +208,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; overlapping spans are replaced once. n_chars follows."""
-    names = docs.columns
     extra = discovered(id_and_text(docs))
-    rows = with_base(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("base", base_spans()).drop(*(f"_{k}" for k in KINDS))
+    rows = with_base(wrapped(docs)).select("doc_id", "text", "row", F.xxhash64("text").alias("text_hash"), base_spans().alias("base"))
     rows = with_extra(rows, extra)
     by_start = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     tag = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
@@ -224,6 +222,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate(by_start, start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     rows = rows.withColumn("text", F.when(F.size("base") + F.size("extra") > 0, done).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*names)
+    return unwrapped(rows, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))

@@ -3,7 +3,9 @@
 Every text is turned into a few counts and ratios, the trees are grown in numpy on a bounded sample of
 labelled rows, and the forest is flattened into arrays so that a batch walks all trees at once.
 Null and empty texts have all-zero statistics and get the forest's score for those; without any labelled
-row every score is 0.5. Repeated rows are scored alike, other columns are ignored.
+row every score is 0.5. Very long texts are measured whole, a few MB of texts at a time. Repeated rows, also of one id,
+are scored alike; an empty table has no scores. Other columns, whatever their names, are ignored by `score` and kept
+by `keep_good`. Equal gains go to the first statistic and the lowest limit.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_of_id, id_and_text, labelled_sample, utf8
+from weftline.llm.common import by_text, crc_of_id, id_and_text, labelled_sample, stretches, unwrapped, utf8, wrapped
 
 #: Byte classes: lower-case ASCII, upper-case ASCII, digit, blank, newline, sentence mark, bar, other ASCII, non-ASCII.
 CLASSES = 9
@@ -133,12 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, label: str = "quality", pe
 
     def measure(batches):
         for batch in batches:
-            rows = statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "y", "x"]
-            )
+            for at, n in stretches(batch.column("text")):
+                part = batch.slice(at, n)
+                x = pa.array(list(statistics(part.column("text"))), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), x], ["doc_id", "y", "x"])
 
-    seen = chosen.mapInArrow(measure, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    # One row of statistics for each id, however many rows repeat it.
+    seen = chosen.mapInArrow(measure, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     y = seen["y"].to_numpy(np.float64)
     x = np.stack(seen["x"].to_list()) if len(seen) else np.zeros((0, CLASSES + 9))
     counts = dict(zip(share["y"], share["count"], strict=True))
@@ -149,15 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, label: str = "quality", pe
     return grow(x, y, weight / max(weight.mean(), 1e-9) if len(y) else weight, **options)
 
 
-def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """(doc_id, score) of every row of `docs`."""
+def scored(forest: Forest):
+    """The score of a column of texts."""
+    return by_text(F.col("text"), "double", lambda: lambda texts: forest.score(statistics(texts)))
 
-    def apply(batches):
-        for batch in batches:
-            out = forest.score(statistics(batch.column("text"))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return id_and_text(docs).mapInArrow(apply, "doc_id long, score double")
+def score(docs: DataFrame, forest: Forest) -> DataFrame:
+    """(doc_id, score) of every row of `docs`."""
+    return id_and_text(docs).select("doc_id", scored(forest).alias("score"))
 
 
 #: A document is kept as good from this score on.
@@ -180,12 +182,4 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose quality score reaches the threshold, with their columns as they were."""
     forest = fit(docs, labels, learns_from())
-    names, schema = docs.columns, docs.schema
-
-    def choose(batches):
-        for batch in batches:
-            texts = batch.column("text").fill_null("")
-            good = forest.score(statistics(texts)) >= THRESHOLD if batch.num_rows else np.zeros(0, bool)
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(choose, schema).select(*names)
+    return unwrapped(wrapped(docs).where(scored(forest) >= THRESHOLD), docs.columns)

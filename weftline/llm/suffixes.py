@@ -11,6 +11,7 @@ come last, and of rows that repeat an id equal starts count as one. Strings neve
 
 from __future__ import annotations
 
+from dataclasses import replace
 from hashlib import sha256
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.anchors import Group, Method, Segments, deduplicate
-from weftline.llm.common import id_and_text, utf8
+from weftline.llm.common import id_and_text, unwrapped, utf8, wrapped
 
 WINDOW = 100
 
@@ -123,15 +124,12 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """`docs` without repeated bytes. A character of which only a part would remain goes whole; n_chars follows."""
-    names, kinds = docs.columns, dict(docs.dtypes)
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = wrapped(docs)
+    kind = rows.schema["row"].dataType.simpleString()
 
     def rest(own: Group, removed: np.ndarray) -> pa.Table:
         texts = [own.codes[a:b][~removed[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(own.ends[:-1].tolist(), own.ends[1:].tolist(), strict=True)]
-        own_columns = {c: own.table[c] for c in names} | {"text": pa.array(texts, pa.string())}
-        if "n_chars" in names:
-            own_columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-        return pa.table(own_columns)
+        return pa.table({"row": own.table["row"], "text": pa.array(texts, pa.string())})
 
-    method = Method(**{**METHOD.__dict__, "finish": rest, "result": ", ".join(f"`{c}` {kinds[c]}" for c in names)})
-    return deduplicate(rows, method)
+    method = replace(METHOD, finish=rest, result=f"row {kind}, text string")
+    return unwrapped(deduplicate(rows, method), docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
