@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -12,6 +14,17 @@ def with_tax(price: pd.Series, tax: pd.Series) -> pd.Series:
     return price * (1 + tax)
 
 
+@F.udf(DoubleType())
+def with_tax_by_row(price: float, tax: float) -> float:
+    """A plain function, called for each row; null for nulls."""
+    return None if price is None or tax is None else price * (1 + tax)
+
+
+@F.arrow_udf(DoubleType())
+def with_tax_arrow(price: pa.Array, tax: pa.Array) -> pa.Array:
+    return pc.multiply(price, pc.add(tax, 1.0))
+
+
 @F.pandas_udf(DoubleType())
 def spread(values: pd.Series) -> float:
     """A user-defined aggregate: the largest less the smallest value."""

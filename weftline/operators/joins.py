@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(probes: DataFrame, facts: DataFrame, by: str, time: str, value: str) -> DataFrame:
+def as_of(probes: DataFrame, facts: DataFrame, by: str, time: str, value: str, bucket: str = "day") -> DataFrame:
     """For each probe the `value` of the last fact of its key at or before its time (null: none).
 
-    Both sides are united and one window finds the last fact; each side is shuffled once by the key. Of facts with
-    equal times the one with the largest value counts.
+    Both sides are united and cut into buckets of time, so that a key with very many rows is many groups. A window over a
+    key's bucket finds the last fact within it; what earlier buckets leave behind is one row a bucket, carried on by a
+    window over these. Of facts with equal times the one with the largest value counts; facts without a key, a time or
+    a value count nothing, and probes without a key or a time find none.
     """
     kind = facts.schema[value].dataType
+    sound = facts.where(F.col(by).isNotNull() & F.col(time).isNotNull() & F.col(value).isNotNull())
     both = probes.withColumn("_v", F.lit(None).cast(kind)).withColumn("_probe", F.lit(1)).unionByName(
-        facts.select(by, time, F.col(value).alias("_v")).withColumn("_probe", F.lit(0)), allowMissingColumns=True
-    )
-    w = Window.partitionBy(by).orderBy(time, "_probe", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_probe = 1").drop("_v", "_probe")
+        sound.select(by, time, F.col(value).alias("_v")).withColumn("_probe", F.lit(0)), allowMissingColumns=True
+    ).withColumn("_b", F.date_trunc(bucket, time))
+    within = Window.partitionBy(by, "_b").orderBy(time, "_probe", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_near", F.last("_v", ignorenulls=True).over(within)).where("_probe = 1")
+    last = F.max(F.when(F.col("_probe") == 0, F.struct(time, "_v")))["_v"]
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(F.col(by).alias("_key"), F.col("_b").alias("_at")).agg(last.alias("_last")).withColumn("_far", F.last("_last", ignorenulls=True).over(earlier))
+    out = found.join(carried, (F.col(by) == F.col("_key")) & (F.col("_b") == F.col("_at")), "left")
+    return out.withColumn(value, F.coalesce("_near", "_far")).drop("_v", "_probe", "_b", "_near", "_key", "_at", "_last", "_far")

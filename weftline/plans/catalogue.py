@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import udfs
 from weftline.operators.joins import as_of
-from weftline.sources.tables import table, through, views
+from weftline.sources.tables import table, through, through_text, views
 from weftline.streaming import events
 
 SQL: dict[str, tuple[str, str]] = {}
@@ -47,11 +47,13 @@ for kind in ("semi", "anti"):
 both("p12_small_product", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 both("p13_theta_equi_join", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
 both("p14_interval_join", "SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
-both("p16_lateral", "SELECT r_name, top.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0) top")
+both("p16_lateral", "SELECT r_name, top.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name DESC LIMIT 2) top")
 both("p17_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 both("p17_scalar_subquery", "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey)")
 both("p18_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t")
-both("p19_hinted_join", "SELECT /*+ MERGE(orders) */ c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
+HINTS = {"broadcast": "BroadcastHashJoin", "merge": "SortMergeJoin", "shuffle_hash": "ShuffledHashJoin", "shuffle_replicate_nl": "CartesianProduct"}
+for hint in HINTS:
+    both(f"p19_{hint}_hint", f"SELECT /*+ {hint.upper()}(customer) */ n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 # Aggregation
 both("p20_group_aggregate", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= CAST('2001-06-01' AS TIMESTAMP_NTZ) GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY l_returnflag, l_linestatus")
 both("p21_count_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days FROM orders GROUP BY o_orderpriority")
@@ -78,16 +80,16 @@ for name, word in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect",
     both(f"p48_{name}", f"({A}) {word} ({B})")
 # Scalars
 both("p50_strings", "SELECT c_custkey, upper(c_name) AS u, substring(c_name, 3, 5) AS s, replace(c_name, '0', 'x') AS r, lpad(c_mktsegment, 12, '*') AS l, concat_ws('-', c_name, c_mktsegment) AS j, CAST(length(c_name) AS INT) AS n FROM customer")
-both("p51_case", "SELECT doc_id, lower(text) AS low FROM documents")
+both("p51_case", "SELECT doc_id, lower(text) AS low, upper(replace(text, 'ß', 'ss')) AS up FROM documents")
 both("p52_regex_functions", "SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#') AS a, regexp_extract(c_name, '([0-9]+)', 1) AS b FROM customer", "SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS a, regexp_extract(c_name, '([0-9]+)', 1) AS b FROM customer")
 both("p53_hashes", "SELECT doc_id, md5(text) AS m, sha2(text, 256) AS s FROM documents", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")
 both("p53_trim_levenshtein", "SELECT p_partkey, trim(p_name) AS t, CAST(levenshtein(p_name, p_type) AS INT) AS d FROM part")
-both("p54_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q FROM orders")
+both("p54_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q, CAST(datediff(o_orderdate, DATE '1995-01-01') AS INT) AS d FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS d FROM orders")
 both("p55_date_trunc", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m FROM orders")
 both("p56_day_of_week", "SELECT o_orderkey, dayofweek(o_orderdate) - 1 AS d FROM orders", "SELECT o_orderkey, CAST(dayofweek(o_orderdate) AS INT) AS d FROM orders")
-both("p57_math", "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS s, round(ln(l_extendedprice), 6) AS g, CAST(floor(l_extendedprice) AS DOUBLE) AS f, CAST(ceil(l_extendedprice) AS DOUBLE) AS c FROM lineitem")
+both("p57_math", "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS s, round(ln(l_extendedprice), 6) AS g, CAST(floor(l_extendedprice) AS DOUBLE) AS f, CAST(ceil(l_extendedprice) AS DOUBLE) AS c, round(power(l_quantity, 1.5), 6) AS p FROM lineitem")
 both("p58_division", "SELECT o_orderkey, o_orderkey % 7 AS m, o_orderkey / 4 AS q FROM orders")
-both("p59_decimal_sum", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS s FROM lineitem GROUP BY l_returnflag")
+both("p59_decimal_sum", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS s, round(avg(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE)), 4) AS a FROM lineitem GROUP BY l_returnflag")
 both("p60_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 both("p61_arrays", "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * x), CAST(0 AS DOUBLE), (a, x) -> a + x), 6) AS norm2 FROM embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm2 FROM embeddings")
 both("p61_explode", "SELECT conv_id, turn, word FROM conversations LATERAL VIEW explode(split(text, ' ')) AS word", "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations")
@@ -100,12 +102,27 @@ both("p95_tags_stripped", "SELECT page_id, length(regexp_replace(html, '<[^>]+>'
 both("p96_conversations", "SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, role))), x -> x.role), '>') AS roles FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 
 
+# Text and labels, as plain statements
+both("p90_least_id_of_text", "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY md5(text)")
+GRAMS = "SELECT DISTINCT {0}, array_join(slice(w, i, 8), ' ') AS g FROM (SELECT {0}, w, explode(sequence(1, size(w) - 7)) AS i FROM (SELECT {0}, split(lower(text), '[^a-z0-9]+') AS w FROM {1}) WHERE size(w) >= 8)"
+DUCK_GRAMS = "SELECT DISTINCT {0}, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {0}, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM {1}) WHERE len(w) >= 8)"
+SHARED = "SELECT doc_id, item_id, count(*) AS shared FROM ({}) d JOIN ({}) b ON d.g = b.g GROUP BY doc_id, item_id"
+both("p92_shared_word_runs", *(SHARED.format(g.format("doc_id", "documents"), g.format("item_id", "benchmark")) for g in (GRAMS, DUCK_GRAMS)))
+both("p94_lines_once", "SELECT doc_id, array_join(array_distinct(split(text, '\\n')), '\\n') AS text FROM documents", "SELECT doc_id, array_to_string(list_transform(list_filter(lines, lambda x, i: list_position(lines, x) = i), lambda x: x), chr(10)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)")
+both("p98_rates_by_label", "SELECT quality, toxic, count(*) AS n, count(*) FILTER (WHERE n_chars < 200) AS short, round(avg(CAST(n_chars AS DOUBLE)), 6) AS mean_chars, count(*) FILTER (WHERE text LIKE '%@%') AS with_at FROM documents JOIN labels USING (doc_id) GROUP BY quality, toxic")
+
+
 @frame("p02_formats", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after csv, json and orc files."""
     return through(through(through(table(spark, sf_dir, "nation"), "csv", header=True), "json"), "orc")
 
 
+@frame("p02_text", "SELECT n_name FROM nation")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_text(table(spark, sf_dir, "nation"), "n_name")
+
+
 @frame("p15_as_of_join", "SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
 def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
@@ -121,17 +138,33 @@ def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
 
 
-@frame("p31_approximate_distinct", "SELECT true AS close")
+def about(column: str) -> Column:
+    return F.abs(F.col(column) - F.col("exact")) <= 0.1 * F.col("exact")
+
+
+@frame("p31_approximate_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS close FROM lineitem GROUP BY l_returnflag")
 def about_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the approximate number of distinct values is within a tenth of the exact one."""
-    counts = table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("a"), F.count_distinct("l_partkey").alias("e"))
-    return counts.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+    """The exact number of distinct values of each group, and whether the approximate one is within a tenth of it."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("a"), F.count_distinct("l_partkey").alias("exact"))
+    return counts.select("l_returnflag", "exact", about("a").alias("close"))
 
 
-@frame("p32_sketch", "SELECT true AS close")
+@frame("p32_merged_sketches", "SELECT count(DISTINCT l_partkey) AS exact, true AS close FROM lineitem")
 def sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "lineitem").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("a"), F.count_distinct("l_partkey").alias("e"))
-    return counts.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+    """HyperLogLog sketches of groups, merged: their estimate against the exact count of all."""
+    rows = table(spark, sf_dir, "lineitem")
+    parts = rows.groupBy("l_returnflag").agg(F.hll_sketch_agg("l_partkey").alias("s"))
+    whole = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("a"))
+    return whole.join(F.broadcast(rows.agg(F.count_distinct("l_partkey").alias("exact")))).select("exact", about("a").alias("close"))
+
+
+@frame("p32_quantile_sketch", "SELECT o_orderpriority, count(*) AS n, true AS close FROM orders GROUP BY o_orderpriority")
+def quantile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each group, and whether the median by a KLL sketch has a rank within a twentieth of the middle."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey")
+    medians = rows.groupBy("o_orderpriority").agg(F.expr("kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(o_custkey), 0.5D)").alias("m"))
+    ranks = rows.join(F.broadcast(medians), "o_orderpriority").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.avg((F.col("o_custkey") <= F.col("m")).cast("double")).alias("rank"))
+    return ranks.select("o_orderpriority", "n", (F.abs(F.col("rank") - 0.5) <= 0.05).alias("close"))
 
 
 @frame("p73_stream_tumbling", SQL["p70_tumbling"][1])
@@ -139,6 +172,29 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.tumbling(spark, sf_dir)
 
 
+CLOSED = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1 HAVING start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+
+
+@frame("p73_stream_closed_hours", CLOSED)
+def stream_closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.closed_hours(events.stream(spark, sf_dir))
+
+
+@frame("p78_late_dropped", CLOSED)
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.late_dropped(spark, sf_dir)
+
+
+@frame("p79_restart", CLOSED)
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.restarted(spark, sf_dir)
+
+
+@frame("p74_stream_closed_sessions", f"SELECT * FROM ({SQL['p72_session'][1].replace('count(*) AS n FROM', 'count(*) AS n, max(ts) AS last FROM', 1)}) WHERE last + INTERVAL '30 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)".replace("SELECT *", "SELECT user_id, start, n", 1))
+def stream_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.closed_sessions(events.stream(spark, sf_dir))
+
+
 @frame("p75_stream_join", "SELECT a.event_id AS view_id, b.event_id AS purchase_id, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.purchases_after_views(spark, sf_dir)
@@ -171,10 +227,23 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @frame("p80_pandas_udf", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) AS gross FROM lineitem")
-def arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pandas_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(udfs.with_tax("l_extendedprice", "l_tax"), 4).alias("gross"))
 
 
+GROSS = "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) AS gross FROM lineitem"
+
+
+@frame("p80_scalar_udf", GROSS)
+def scalar_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(udfs.with_tax_by_row("l_extendedprice", "l_tax"), 4).alias("gross"))
+
+
+@frame("p80_arrow_udf", GROSS)
+def arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(udfs.with_tax_arrow("l_extendedprice", "l_tax"), 4).alias("gross"))
+
+
 @frame("p81_grouped_map", "SELECT user_id, event_id, round(value / sum(value) OVER (PARTITION BY user_id), 8) AS share FROM events")
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
@@ -189,7 +258,7 @@ def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
+        views(spark, sf_dir, text)
         return spark.sql(text)
 
     return run

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def views(spark: SparkSession, sf_dir: str) -> None:
-    """Make each table of the folder a temporary view; statements keep the folder they were analysed with."""
+def views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Make the tables that a statement names temporary views; statements keep the folder they were analysed with."""
+    words = set(re.findall(r"\w+", text))
     for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        if name in words:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,3 +33,10 @@ def through(df: DataFrame, kind: str, **options) -> DataFrame:
     path = scratch(df.sparkSession, kind)
     df.write.format(kind).options(**options).save(path)
     return df.sparkSession.read.format(kind).schema(df.schema).options(**options).load(path)
+
+
+def through_text(df: DataFrame, column: str) -> DataFrame:
+    """Write one column as lines of text and read them back; line breaks in a value would part it."""
+    path = scratch(df.sparkSession, "text")
+    df.select(df[column].alias("value")).write.text(path)
+    return df.sparkSession.read.text(path).withColumnRenamed("value", column)

@@ -1,4 +1,8 @@
-"""Streams over the events table; each runs over what is there and returns what it wrote."""
+"""Streams over the events table; each runs over what is there and returns what it wrote.
+
+Every stream can be replayed: a micro-batch is written to a folder of its own number, so a batch that runs
+again after a restart replaces what it wrote before.
+"""
 
 from __future__ import annotations
 
@@ -7,55 +11,90 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from weftline.sources.tables import scratch, table
 
+LATE = "10 minutes"
+
+
+def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A folder of Parquet files with events as a stream, in zoned event time as watermarks need it."""
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream, with a zoned event time as watermarks need it."""
-    schema = table(spark, sf_dir, "events").schema
     # A pattern, as the path may be a single file.
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream_of(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema)
+
 
+def drained(df: DataFrame, mode: str, name: str, at: str | None = None) -> DataFrame:
+    """Run a streaming query until its input ends and read what it wrote.
 
-def drained(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a streaming query until its input ends; in complete mode the last result replaces the others."""
-    spark, out = df.sparkSession, scratch(df.sparkSession, name)
+    In complete mode each result replaces the last one. With `at` an earlier run is continued from its checkpoint.
+    """
+    spark, out = df.sparkSession, at or scratch(df.sparkSession, name)
     schema = df.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={number}")
 
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(put).start()
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    # Each batch's folder is a root of its own, so that its number is no column.
+    return spark.read.schema(schema).parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/*")
+
+
+def hourly(events: DataFrame) -> DataFrame:
+    return events.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+
+
+def by_start(counts: DataFrame, window: str, *keys: str) -> DataFrame:
+    return counts.select(*keys, F.col(f"{window}.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stream(spark, sf_dir).groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
-    return drained(counts, "complete", "tumbling").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+    """All hours so far, in complete mode: the result is the state, which grows with the hours."""
+    return by_start(drained(hourly(stream(spark, sf_dir)), "complete", "tumbling"), "window")
 
 
-def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = stream(spark, sf_dir).withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
+def closed_hours(events: DataFrame, at: str | None = None) -> DataFrame:
+    """Hours that the watermark has passed, in append mode; later rows of theirs are dropped, and so is their state."""
+    return by_start(drained(hourly(events.withWatermark("ts", LATE)), "append", "hours", at), "window")
+
+
+def distinct(events: DataFrame) -> DataFrame:
+    """Each event once, as long as its repeats come within the watermark."""
+    once = events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
     return drained(once, "append", "distinct").select("event_id", "user_id")
 
 
+def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readers send every event twice; it comes out once."""
+    return distinct(stream(spark, sf_dir).unionByName(stream(spark, sf_dir)))
+
+
 def purchases_after_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a view and a purchase of one user within the hour behind it, joined as two streams."""
-    both = stream(spark, sf_dir).withWatermark("ts", "10 minutes")
+    both = stream(spark, sf_dir).withWatermark("ts", LATE)
     a = both.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("u"), F.col("ts").alias("t"))
     b = both.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("t2"))
     joined = a.join(b, F.expr("u = user_id AND t2 > t AND t2 <= t + INTERVAL 1 HOUR"))
     return drained(joined.select("view_id", "purchase_id", "user_id"), "append", "pairs")
 
 
+def by_session(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user with gaps under 30 minutes are one session."""
-    counts = stream(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
-    return drained(counts, "complete", "sessions").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    """Events of a user with gaps under 30 minutes are one session; all sessions so far, in complete mode."""
+    return by_start(drained(by_session(stream(spark, sf_dir)), "complete", "sessions"), "session_window", "user_id")
+
+
+def closed_sessions(events: DataFrame) -> DataFrame:
+    """Sessions that the watermark has passed, in append mode."""
+    return by_start(drained(by_session(events.withWatermark("ts", LATE)), "append", "sessions"), "session_window", "user_id")
 
 
 def with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,16 +103,62 @@ def with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream(spark, sf_dir).select("event_id", "user_id").join(customers, "user_id"), "append", "segments").select("event_id", "c_mktsegment")
 
 
-def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user so far and the highest value, as state of our own; the last row of a user counts."""
+def in_runs(parts: list[DataFrame], schema) -> DataFrame:
+    """Closed hours of a stream that stops after each part of its rows and goes on from its checkpoint with the next."""
+    spark = parts[0].sparkSession
+    path, at = scratch(spark, "parts"), scratch(spark, "runs")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        out = closed_hours(stream_of(spark, path, schema), at)
+    return out
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The events, and those of the first and of the second half of January."""
+    rows = table(spark, sf_dir, "events")
+    middle = F.lit("2024-01-15").cast("timestamp_ntz")
+    return rows, rows.where(F.col("ts") < middle), rows.where(F.col("ts") >= middle)
+
+
+def restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, first, second = halves(spark, sf_dir)
+    return in_runs([first, second], rows.schema)
+
+
+def late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half comes once more behind the second one: too late for the watermark, so nothing of it counts."""
+    rows, first, second = halves(spark, sf_dir)
+    return in_runs([first, second, first], rows.schema)
 
-    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, top = state.get if state.exists else (0, float("-inf"))
-        for rows in chunks:
-            n, top = n + len(rows), max(top, float(rows["value"].max()))
-        state.update((n, top))
+
+class Totals(StatefulProcessor):
+    """How many events of a user there were so far, and the highest value."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n long, top double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, top = self.total.get() if self.total.exists() else (0, float("-inf"))
+        for chunk in rows:
+            n, top = n + len(chunk), max(top, float(chunk["value"].max()))
+        self.total.update((n, top))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
 
-    grouped = stream(spark, sf_dir).select("user_id", "value").groupBy("user_id")
-    totals = grouped.applyInPandasWithState(advance, "user_id long, n long, top double", "n long, top double", "update", GroupStateTimeout.NoTimeout)
-    return drained(totals, "update", "totals").groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user so far and the highest value, as state of our own in RocksDB; the last row of a user counts."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKS)
+    try:
+        grouped = stream(spark, sf_dir).select("user_id", "value").groupBy("user_id")
+        totals = grouped.transformWithStateInPandas(Totals(), "user_id long, n long, top double", "update", "none")
+        return drained(totals, "update", "totals").groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+    finally:
+        spark.conf.set(setting, before)
