@@ -1,14 +1,13 @@
 """The corpus operators on small fixtures, against brute force, exact round trips and held-out labels."""
 
 import hashlib
-import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import fmindex, minhash, neighbours, packing, pieces, pii, quality, suffixes, topk, toxicity
+from weftline.llm import minhash, neighbours, packing, pieces, pii, quality, topk, toxicity
 
 pytestmark = pytest.mark.filterwarnings("ignore")
 SCHEMA = "doc_id long, text string, lang string, score string, key string"
@@ -30,55 +29,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def order(i):
-    return float("inf") if i is None else i
-
-
-def test_bytes_removed_like_brute_force(docs, empty):
-    first, bodies = {}, sorted(((order(i), (t or "").encode()) for i, t, *_ in ROWS))
-    for i, b in bodies:
-        for s in range(len(b) - 99):
-            first.setdefault(b[s : s + 100], (i, s))
-    wanted = []
-    for i, b in bodies:
-        gone = bytearray(len(b))
-        for s in range(len(b) - 99):
-            if first[b[s : s + 100]] < (i, s):
-                gone[s : s + 100] = b"\1" * 100
-        kept = hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
-        wanted.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), kept))
-    found = [(order(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(docs).collect()]
-    assert sorted(found) == sorted(wanted)
-    assert suffixes.repeated_bytes(empty).count() == 0
-    assert suffixes.drop_repeated(docs).columns == docs.columns
-
-
-def test_windows_removed_like_brute_force(docs, empty):
-    first, bodies = {}, sorted(((order(i), re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t, *_ in ROWS))
-    for i, w in bodies:
-        for s in range(len(w) - 49):
-            first.setdefault(tuple(w[s : s + 50]), i)
-    wanted = []
-    for i, w in bodies:
-        gone = [False] * len(w)
-        for s in range(len(w) - 49):
-            if first[tuple(w[s : s + 50])] < i:
-                gone[s : s + 50] = [True] * 50
-        wanted.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
-    found = [(order(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in fmindex.repeated_windows(docs).collect()]
-    assert sorted(found) == sorted(wanted)
-    assert fmindex.repeated_windows(empty).count() == 0
-
-
-def test_failed_searches_start_anew():
-    """Patterns that are not in the index are not reported; those that are get their least document."""
-    text = np.array([1, 2, 3, 4, 5, 6, 0, 9, 3, 4, 5, 7, 0])
-    index = fmindex.FMIndex(text, 4)
-    docs = np.array([8] * 7 + [3] * 6)
-    low = fmindex.least_documents(index, text, np.array([0, 7]), np.array([6, 5]), docs, 3)
-    assert low.tolist() == [8, 8, 3, 8, 3, 3, 3]
-
-
 def test_near_copies(spark, empty):
     words = [f"v{i}" for i in range(100)]
     near = words[:50] + ["changed"] + words[51:]

@@ -1,34 +1,45 @@
 """Finding repeated windows of tokens exactly, with two exchanges between groups of documents and buckets.
 
 Every window of W tokens has an anchor: its k-gram with the smallest hash, the leftmost of equals. Equal
-windows have equal anchors at equal places, so all copies of a window can meet in the bucket of their anchor.
-Runs of windows with one anchor form a segment. Documents are dealt into groups by id:
-
-1. each group sends the distinct hashes of its anchors to buckets, which range-partition them by their leading
-   tokens at sampled splitters; a bucket answers which hashes another group has too;
-2. each group sends the distinct segments at such anchors, or at anchors it has twice itself, with their first
-   place; a bucket compares whole windows with an engine and answers, for each window, whether it starts
-   earlier elsewhere.
-
-A hot passage costs one segment a group, however many documents hold it, and unique text is never sent.
+windows have equal anchors at equal places, so all copies of a window can meet where their anchor goes.
+Runs of windows with one anchor form a segment. Rows are dealt into groups by id and text:
+
+1. each group announces the hashes of its anchors, with the number of distinct segments there, to buckets by hash; a bucket
+   answers which anchors recur at all, and which are hot, that is, have over HOT distinct segments;
+2. each group sends the distinct segments at recurring anchors, with their least place, to buckets that range-partition
+   anchors by their leading tokens at splitters, sampled from all recurring anchors; a bucket compares whole
+   windows with an engine and answers, for each window, whether it starts earlier elsewhere. Hot anchors (a line shorter than
+   the window in ever other surroundings, the ends of a common passage) are split: their windows go one by one, as 128-bit
+   digests with their least place, to as many further buckets as the digests are dealt to.
+
+A hot passage costs one segment a group, however many documents hold it, and unique text is never sent. Equal windows
+never straddle two buckets, since splitters part anchors and digests part windows; so no comparison across boundaries is left.
+Rows of messages are (group, bucket) pairs, of which a group has at most as many as it has anchors.
 The texts are shuffled once; both later uses read the same exchange.
+Within a group equal segments are told by 128-bit digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from weftline.llm.common import NO_ID
+from weftline.llm.common import NO_ID, stretches
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 INDEX = np.uint64(2**18 - 1)
 BLOCK = 2**17
+#: Distinct segments of an anchor from which on its windows are dealt one by one.
+HOT = 2000
 
 
 @dataclass
@@ -54,10 +65,11 @@ class Method:
     lead: Callable
     engine: Callable
     finish: Callable
-    result: str
+    result: str | StructType
     group_chars: int = 4_000_000
     bucket_chars: int = 8_000_000
-    sample: int = 2000
+    hot: int = HOT
+    sample: int = 512  # one anchor hash in so many is sampled for the splitters
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,9 +101,28 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+@lru_cache(maxsize=4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    out = []
+    for base in (MULTIPLIER, INVERSE):
+        power = np.full(n, base, np.uint64)
+        power[:1] = 1
+        out.append(np.multiply.accumulate(power))
+    return out[0], out[1]
+
+
+def stretch_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """Hashes of stretches of a block, from cumulated sums."""
+    up, down = powers(BLOCK + 1024)
+    terms = mixed((codes.astype(np.uint64) + np.uint64(1)) * salt) * up[: len(codes)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * salt)
+
+
 def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments of a group in order: first window, number of windows, place of the anchor, hash of the anchor."""
-    own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    """Segments of a group in order: first window, number of windows, place and hash of the anchor, two digests of the tokens."""
+    own = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
     out = []
     for at in range(0, len(codes) - window + 1, BLOCK):
         part = codes[at : at + BLOCK + window - 1]
@@ -104,53 +135,104 @@ def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[n
         place = place[start]
         cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(start) != 1)) + 1
         first = np.concatenate([[0], cut])
-        out.append((start[first] + at, np.diff(np.append(first, len(start))), place[first] + at, hashes[place[first]]))
+        n = np.diff(np.append(first, len(start)))
+        begin, anchor = start[first], place[first]
+        offset = (anchor - begin).astype(np.uint64)
+        digests = [mixed(stretch_hashes(part, begin, begin + n + window - 1, salt) + offset * OTHER) for salt in (MULTIPLIER, OTHER)]
+        out.append((begin + at, n, anchor + at, hashes[anchor], *digests))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
+def parted(numbers: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(number, where it stands) of each distinct number; places in ascending order."""
+    order = np.argsort(numbers, kind="stable")
+    cut = np.flatnonzero(np.diff(numbers[order])) + 1
+    return [(int(numbers[x[0]]), x) for x in np.split(order, cut)] if len(order) else []
+
+
+def steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, in a row."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def heads(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of items in an order that puts equal keys together: the first of each kind, and the kind of each item."""
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    return order[fresh], kind
+
+
 class Group:
     """The anchors of one group of documents; the same on every call for the same rows."""
 
-    def __init__(self, table: pa.Table, method: Method, splitters: np.ndarray):
-        order = sorted(range(table.num_rows), key=lambda i: (ids[i], texts[i])) if (ids := [NO_ID if x is None else x for x in table["doc_id"].to_pylist()]) and (texts := table["text"].to_pylist()) else []
-        self.table = table.take(pa.array(order, pa.int64())) if order else table
-        self.ids = np.array([ids[i] for i in order], np.int64)
+    def __init__(self, table: pa.Table, method: Method):
+        ids = np.array([NO_ID if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
+        texts = table["text"].to_pylist()
+        order = sorted(range(table.num_rows), key=lambda i: (ids[i], texts[i]))
+        self.table = table.take(pa.array(order, pa.int64()))
+        self.ids = ids[order]
         self.method = method
         self.codes, self.ends, self.extra = method.read(self.table["text"].combine_chunks())
-        self.start, self.windows, self.place, self.hash = runs(self.codes, self.ends, method.window, method.gram)
-        self.distinct, self.which, count = np.unique(self.hash, return_inverse=True, return_counts=True)
-        self.twice = count > 1
-        first = np.zeros(len(self.distinct), np.int64)
-        first[self.which[::-1]] = self.place[::-1]
-        self.bucket = np.searchsorted(splitters, bucket_keys(method, self.codes, first, self.distinct), side="right")
-
-    def flagged(self, answers: dict[int, np.ndarray]) -> np.ndarray:
-        """Which distinct hashes are shared: repeated here, or marked in a bucket's answer."""
-        out = self.twice.copy()
-        for b, bits in answers.items():
-            own = np.flatnonzero(self.bucket == b)
-            out[own] |= np.unpackbits(bits, count=len(own)).astype(bool)
-        return out
-
-    def segments(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segments at shared anchors: their indexes, the distinct segment of each, and each distinct one's first."""
-        chosen = np.flatnonzero(shared[self.which])
-        seen: dict[tuple, int] = {}
-        known, first, window = np.zeros(len(chosen), np.int64), [], self.method.window
-        width = self.codes.itemsize
-        data = self.codes.tobytes()
-        for j, (s, n, a) in enumerate(zip(self.start[chosen].tolist(), self.windows[chosen].tolist(), self.place[chosen].tolist(), strict=True)):
-            key = (data[s * width : (s + n + window - 1) * width], a - s)
-            u = seen.setdefault(key, len(seen))
-            if u == len(first):
-                first.append(chosen[j])
-            known[j] = u
-        return chosen, known, np.array(first, np.int64)
-
-    def doc_of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, at, side="right") - 1
+        self.start, self.windows, self.place, self.hash, d1, d2 = runs(self.codes, self.ends, method.window, method.gram)
+        self.doc = np.searchsorted(self.ends, self.start, side="right") - 1
+        self.id, self.at = self.ids[self.doc], self.start - self.ends[self.doc]
+        # Of equal segments the one with the least document and place stands for all.
+        self.firsts, kind = heads(np.lexsort((self.at, self.id, d2, d1)), d1, d2)
+        self.first = self.firsts[kind]
+        self.firsts = np.sort(self.firsts)
+        self.distinct, self.which = np.unique(self.hash, return_inverse=True)
+        self.kinds = np.bincount(self.which[self.firsts], minlength=len(self.distinct))
+        self.twice = np.bincount(self.which, minlength=len(self.distinct)) > 1
+
+    def announced(self, buckets: int) -> list[tuple[int, np.ndarray]]:
+        return parted((self.distinct % np.uint64(buckets)).astype(np.int64))
+
+    def answered(self, buckets: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Which distinct hashes recur, here or in another group, and which are hot."""
+        shared, hot = self.twice.copy(), np.zeros(len(self.twice), bool)
+        mine = dict(self.announced(buckets))
+        for b, bits, more in zip(answers["b"].to_pylist(), answers["flags"].to_pylist(), answers["hot"].to_pylist(), strict=True):
+            own = mine[b]
+            shared[own] |= unpacked(bits, len(own))
+            hot[own] = unpacked(more, len(own))
+        return shared, hot
+
+    def windows_of(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of all windows of segments, in a row."""
+        w = self.method.window
+        sizes = self.windows[segments] + w - 1
+        tokens = self.codes[np.repeat(self.start[segments], sizes) + steps(sizes)]
+        inside = np.repeat(np.cumsum(sizes) - sizes, self.windows[segments]) + steps(self.windows[segments])
+        out = [np.zeros(len(inside), np.uint64) for _ in range(2)]
+        for at in range(0, max(0, len(tokens) - w + 1), BLOCK):
+            part = tokens[at : at + BLOCK + w - 1].astype(np.uint64)
+            low, high = np.searchsorted(inside, [at, at + BLOCK])
+            for k, salt in enumerate((MULTIPLIER, OTHER)):
+                out[k][low:high] = gram_hashes(mixed((part + np.uint64(1)) * salt), w)[inside[low:high] - at]
+        return out[0], out[1]
+
+
+class Routes:
+    """What a group sends: distinct segments by bucket, and distinct windows of hot anchors by bucket."""
+
+    def __init__(self, own: Group, shared: np.ndarray, hot: np.ndarray, splitters: np.ndarray, buckets: int, hot_buckets: int):
+        method, at = own.method, own.which[own.firsts]
+        plain = own.firsts[shared[at] & ~hot[at]]
+        keys = bucket_keys(method, own.codes, own.place[plain], own.hash[plain])
+        self.plain = [(b, plain[x]) for b, x in parted(np.searchsorted(splitters, keys, side="right"))]
+        self.hot_segments = own.firsts[hot[at]]
+        n = own.windows[self.hot_segments]
+        self.base = np.cumsum(n) - n
+        d1, d2 = own.windows_of(self.hot_segments)
+        ids = np.repeat(own.id[self.hot_segments], n)
+        places = np.repeat(own.at[self.hot_segments], n) + steps(n)
+        first, self.kind = heads(np.lexsort((places, ids, d2, d1)), d1, d2)
+        self.digests, self.ids, self.places = np.stack([d1[first], d2[first]], axis=1), ids[first], places[first]
+        self.hot = [(buckets + b, x) for b, x in parted((self.digests[:, 0] % np.uint64(hot_buckets)).astype(np.int64))]
 
 
 def bucket_keys(method: Method, codes: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -162,114 +244,155 @@ def table_of(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
+def packed(bits: np.ndarray) -> bytes:
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
 I32, BIN = pa.int32(), pa.binary()
+SIGN = np.uint64(1 << 63)
 
 
-def deduplicate(docs: DataFrame, method: Method, extra: list[str] | None = None) -> DataFrame:
-    """Apply `method` to rows (doc_id, text, ...): what its `finish` makes of each row and its removed tokens."""
-    stats = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    chars = stats["chars"] or 0
-    groups = max(1, -(-chars // method.group_chars))
-    buckets = max(1, -(-chars // method.bucket_chars))
+def sampled_splitters(docs: DataFrame, method: Method, buckets: int) -> np.ndarray:
+    """Bounds of the buckets: quantiles of the keys of recurring anchors, of which all documents give one in `sample`.
+
+    Every distinct segment counts once, as it is sent once a group. Only the quantiles reach the driver.
+    """
+    if buckets < 2:
+        return np.zeros(0, np.uint64)
 
     def sampled(batches):
         for batch in batches:
-            own = Group(pa.Table.from_batches([batch]), method, np.zeros(0, np.uint64))
-            keys = bucket_keys(method, own.codes, own.place, own.hash)[:: 1 + len(own.hash) // 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+            for at, n in stretches(batch.column("text")):
+                codes, ends, _ = method.read(batch.column("text").slice(at, n))
+                _, _, place, hashes, digest, _ = runs(codes, ends, method.window, method.gram)
+                some = np.flatnonzero(hashes % np.uint64(method.sample) == 0)
+                keys = bucket_keys(method, codes, place[some], hashes[some]) ^ SIGN
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, hashes[some], digest[some])], ["key", "hash", "segment"])
+
+    kinds = docs.select("text").mapInArrow(sampled, "key long, hash long, segment long").groupBy("hash", "key", "segment").agg(F.count("*").alias("n"))
+    anchors = kinds.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") > 1) & (F.col("kinds") <= method.hot))
+    bounds = [i / buckets for i in range(1, buckets)]
+    found = kinds.join(anchors.select("hash"), "hash").agg(F.percentile_approx("key", bounds, 100 * buckets)).first()[0]
+    return np.unique(np.array(found or [], np.int64).view(np.uint64) ^ SIGN)
 
-    splitters = np.zeros(0, np.uint64)
-    if buckets > 1:
-        some = docs.select("doc_id", "text").sample(min(1.0, method.sample / stats["n"]), seed=11)
-        keys = np.sort(some.mapInArrow(sampled, "key long").toPandas()["key"].to_numpy().astype(np.int64).view(np.uint64))
-        if len(keys):
-            splitters = np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]])
 
+def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
+    """Apply `method` to rows (doc_id, text, ...): what its `finish` makes of each row and its removed tokens."""
+    chars = docs.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    groups = max(1, -(-chars // method.group_chars))
+    buckets = max(1, -(-chars // method.bucket_chars))
+    hot_buckets = 4 * buckets
+    splitters = sampled_splitters(docs, method, buckets)
     by_group = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def announce(table: pa.Table) -> pa.Table:
-        own, g = Group(table, method, splitters), table["g"][0].as_py()
-        rows = [(int(b), own.distinct[own.bucket == b].tobytes()) for b in np.unique(own.bucket)]
-        return table_of({"b": ([r[0] for r in rows], I32), "g": ([g] * len(rows), I32), "h": ([r[1] for r in rows], BIN)})
+        own, g = Group(table, method), table["g"][0].as_py()
+        rows = own.announced(buckets)
+        kinds = np.minimum(own.kinds, 65_535).astype(np.uint16)
+        return table_of({"b": ([b for b, _ in rows], I32), "g": ([g] * len(rows), I32), "h": ([own.distinct[x].tobytes() for _, x in rows], BIN), "n": ([kinds[x].tobytes() for _, x in rows], BIN)})
 
     def compare(table: pa.Table) -> pa.Table:
-        """Hashes that more than one group has."""
+        """Hashes that more than one group has, and those with many segments in all groups together."""
         parts = [np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]
-        found, count = np.unique(np.concatenate(parts), return_counts=True)
-        shared = found[count > 1]
-        bits = [np.packbits(np.isin(p, shared, assume_unique=True)).tobytes() for p in parts]
-        return pa.table({"g": table["g"], "b": table["b"], "flags": pa.array(bits, BIN)})
+        kinds = np.concatenate([np.frombuffer(x, np.uint16) for x in table["n"].to_pylist()])
+        _, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared, hot = (count > 1)[which], (np.bincount(which, kinds) > method.hot)[which]
+        ends = np.cumsum([0, *map(len, parts)])
+        bits = [[packed(x[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (shared, hot)]
+        return pa.table({"g": table["g"], "b": table["b"], "flags": pa.array(bits[0], BIN), "hot": pa.array(bits[1], BIN)})
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ("b", "g", "flags", "data", "tokens", "anchor", "doc", "place")
+        names = ("b", "g", "flags", "hot", "data", "tokens", "anchor", "doc", "place")
         out: dict[str, list] = {k: [] for k in names}
+
+        def put(*row) -> None:
+            # The first message of a group also carries what was answered, for `remove`.
+            known = (packed(shared), packed(hot)) if not out["b"] else (None, None)
+            for k, v in zip(names, (row[0], g, *known, *row[1:]), strict=True):
+                out[k].append(v)
+
         if left.num_rows:
-            own = Group(left, method, splitters)
-            answers = {b: np.frombuffer(x, np.uint8) for b, x in zip(right["b"].to_pylist(), right["flags"].to_pylist(), strict=True)}
-            shared = own.flagged(answers)
-            _, _, first = own.segments(shared)
-            at = own.bucket[own.which[first]]
-            sizes = own.windows + method.window - 1
-            for b in np.unique(at).tolist():
-                mine = first[at == b]
-                index = np.concatenate([np.arange(s, s + n) for s, n in zip(own.start[mine].tolist(), sizes[mine].tolist(), strict=True)])
-                tokens = own.codes[index]
-                doc = own.doc_of(own.start[mine])
-                flags = np.packbits(shared[own.bucket == b]).tobytes()
-                data = tokens.view(np.uint8).reshape(len(tokens), -1)[:, -method.width :] if tokens.dtype.byteorder == ">" else tokens.view(np.uint8).reshape(len(tokens), -1)[:, : method.width]
-                row = (b, left["g"][0].as_py(), flags, np.ascontiguousarray(data).tobytes(), sizes[mine].astype(np.int32).tobytes(), (own.place - own.start)[mine].astype(np.int32).tobytes(), own.ids[doc].tobytes(), (own.place[mine] - own.ends[doc]).tobytes())
-                for k, v in zip(names, row, strict=True):
-                    out[k].append(v)
+            own, g = Group(left, method), left["g"][0].as_py()
+            shared, hot = own.answered(buckets, right)
+            routes = Routes(own, shared, hot, splitters, buckets, hot_buckets)
+            for b, mine in routes.plain:
+                sizes = own.windows[mine] + method.window - 1
+                tokens = own.codes[np.repeat(own.start[mine], sizes) + steps(sizes)]
+                data = np.ascontiguousarray(tokens.view(np.uint8).reshape(len(tokens), -1)[:, : method.width])
+                put(b, data.tobytes(), sizes.astype(np.int32).tobytes(), (own.place - own.start)[mine].astype(np.int32).tobytes(), own.id[mine].tobytes(), own.at[mine].tobytes())
+            for b, mine in routes.hot:
+                put(b, routes.digests[mine].tobytes(), b"", b"", routes.ids[mine].tobytes(), routes.places[mine].tobytes())
         return table_of({k: (v, I32 if k in "bg" else BIN) for k, v in out.items()})
 
     def judge(table: pa.Table) -> pa.Table:
         """For each window of each message, whether it starts earlier in the bucket than in its own group."""
         table = table.sort_by("g")
         read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        tokens = read("tokens", np.int32)
-        all_of = Segments(np.concatenate(read("data", np.uint8)).reshape(-1, method.width), np.concatenate(tokens), np.concatenate(read("anchor", np.int32)), np.concatenate(read("doc", np.int64)), np.concatenate(read("place", np.int64)))
-        earlier = method.engine(all_of, method)
-        ends = np.cumsum([0, *(int((t - method.window + 1).sum()) for t in tokens)])
-        bits = [np.packbits(earlier[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"g": table["g"], "b": table["b"], "flags": table["flags"], "bits": pa.array(bits, BIN)})
+        docs_of, places = read("doc", np.int64), np.concatenate(read("place", np.int64))
+        doc = np.concatenate(docs_of)
+        if table["b"][0].as_py() < buckets:
+            tokens = read("tokens", np.int32)
+            all_of = Segments(np.concatenate(read("data", np.uint8)).reshape(-1, method.width), np.concatenate(tokens), np.concatenate(read("anchor", np.int32)), doc, places)
+            earlier = method.engine(all_of, method)
+            counts = [int((t - method.window + 1).sum()) for t in tokens]
+        else:
+            d1, d2 = np.concatenate(read("data", np.uint64)).reshape(-1, 2).T
+            first, kind = heads(np.lexsort((places, doc, d2, d1)), d1, d2)
+            earlier = doc[first][kind] < doc
+            if method.within:
+                earlier |= (doc[first][kind] == doc) & (places[first][kind] < places)
+            counts = list(map(len, docs_of))
+        ends = np.cumsum([0, *counts])
+        bits = [packed(earlier[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"g": table["g"], "b": table["b"], "flags": table["flags"], "hot": table["hot"], "bits": pa.array(bits, BIN)})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Group(left, method, splitters)
+        own = Group(left, method)
         removed = np.zeros(len(own.codes) + 1, np.int32)
+
+        def mark(start: np.ndarray) -> None:
+            removed[:] += np.bincount(start, minlength=len(removed)).astype(np.int32)
+            removed[:] -= np.bincount(start + method.window, minlength=len(removed)).astype(np.int32)
+
+        def later(ids: np.ndarray, places: np.ndarray, first_ids: np.ndarray, first_places: np.ndarray) -> np.ndarray:
+            return (ids > first_ids) | ((ids == first_ids) & (places > first_places) & method.within)
+
         if right.num_rows:
-            shared = np.zeros(len(own.distinct), bool)
-            answers = list(zip(right["b"].to_pylist(), right["flags"].to_pylist(), right["bits"].to_pylist(), strict=True))
-            for b, flags, _ in answers:
-                mine = np.flatnonzero(own.bucket == b)
-                shared[mine] = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(mine)).astype(bool)
-            chosen, known, first = own.segments(shared)
-            at = own.bucket[own.which[first]]
-            offset, bits, base = np.zeros(len(first), np.int64), [], 0
-            for b, _, packed in answers:
-                mine = np.flatnonzero(at == b)
-                n = own.windows[first[mine]]
+            answers = list(zip(right["b"].to_pylist(), right["bits"].to_pylist(), strict=True))
+            shared, hot = (next(unpacked(x, len(own.distinct)) for x in right[k].to_pylist() if x is not None) for k in ("flags", "hot"))
+            routes, bits = Routes(own, shared, hot, splitters, buckets, hot_buckets), dict(answers)
+            # Windows of plain segments: the answer to the segment that stands for them, or the place of that one.
+            offset, found, base = np.zeros(len(own.start), np.int64), [np.zeros(0, bool)], 0
+            for b, mine in routes.plain:
+                n = own.windows[mine]
                 offset[mine] = base + np.cumsum(n) - n
-                bits.append(np.unpackbits(np.frombuffer(packed, np.uint8), count=int(n.sum())))
+                found.append(unpacked(bits[b], int(n.sum())))
                 base += int(n.sum())
-            bits = np.concatenate(bits).astype(bool)
+            found = np.concatenate(found)
+            chosen = np.flatnonzero((shared & ~hot)[own.which])
+            head, n = own.first[chosen], own.windows[chosen]
+            gone = found[np.repeat(offset[head], n) + steps(n)] | np.repeat(later(own.id[chosen], own.at[chosen], own.id[head], own.at[head]), n)
+            mark((np.repeat(own.start[chosen], n) + steps(n))[gone])
+            # Windows at hot anchors: each by its own digest.
+            found = np.zeros(len(routes.ids), bool)
+            for b, mine in routes.hot:
+                found[mine] = unpacked(bits[b], len(mine))
+            chosen = np.flatnonzero(hot[own.which])
+            offset[routes.hot_segments] = routes.base
             n = own.windows[chosen]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            doc, head = own.doc_of(own.start[chosen]), first[known]
-            head_doc = own.doc_of(own.start[head])
-            later = own.ids[doc] > own.ids[head_doc]
-            if method.within:
-                here, there = own.place[chosen] - own.ends[doc], own.place[head] - own.ends[head_doc]
-                later |= (own.ids[doc] == own.ids[head_doc]) & (here > there)
-            gone = bits[np.repeat(offset[known], n) + step] | np.repeat(later, n)
-            start = (np.repeat(own.start[chosen], n) + step)[gone]
-            removed += np.bincount(start, minlength=len(removed)).astype(np.int32)
-            removed -= np.bincount(start + method.window, minlength=len(removed)).astype(np.int32)
+            kind = routes.kind[np.repeat(offset[own.first[chosen]], n) + steps(n)]
+            gone = found[kind] | later(np.repeat(own.id[chosen], n), np.repeat(own.at[chosen], n) + steps(n), routes.ids[kind], routes.places[kind])
+            mark((np.repeat(own.start[chosen], n) + steps(n))[gone])
         return method.finish(own, np.cumsum(removed[:-1]) > 0)
 
-    hashes = by_group.groupBy("g").applyInArrow(announce, "b int, g int, h binary")
-    shared = hashes.groupBy("b").applyInArrow(compare, "g int, b int, flags binary")
+    hashes = by_group.groupBy("g").applyInArrow(announce, "b int, g int, h binary, n binary")
+    shared = hashes.groupBy("b").applyInArrow(compare, "g int, b int, flags binary, hot binary")
     sent = by_group.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(
-        send, "b int, g int, flags binary, data binary, tokens binary, anchor binary, doc binary, place binary"
+        send, "b int, g int, flags binary, hot binary, data binary, tokens binary, anchor binary, doc binary, place binary"
     )
-    judged = sent.groupBy("b").applyInArrow(judge, "g int, b int, flags binary, bits binary")
+    judged = sent.groupBy("b").applyInArrow(judge, "g int, b int, flags binary, hot binary, bits binary")
     return by_group.groupBy("g").cogroup(judged.groupBy("g")).applyInArrow(remove, method.result)

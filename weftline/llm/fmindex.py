@@ -1,13 +1,17 @@
 """Substring dedup of word windows with a compressed FM-index per shard.
 
 A shard is a bucket of anchored segments (see `anchors`): all copies of a 50-word window meet in one shard. The
-shard's distinct segments are indexed: Burrows-Wheeler transform in a wavelet matrix of packed bits with rank
-counts. The segments of the documents are then streamed through it by batched backward search from their
-right ends. The statistic kept for a position is the length of the match there, up to the window; where
-it reaches the window, the interval's smallest document decides whether the window is reported.
-
-Null and empty texts have no word. A window counts as repeated if it also starts in a document with a smaller
-id; null ids come last. Repeats within one document, or between rows that repeat an id, stay.
+shard's distinct segments are indexed: Burrows-Wheeler transform in a wavelet matrix of packed bits with a rank
+count for every 128 bits, about 1.25 bits for each bit of a word's number, plus a least document for each distinct window;
+the suffix order is dropped once the transform is made. The segments of the documents are then streamed through it by batched
+backward search from their right ends. The statistic kept for a position is the length of the match there, up to the window; where
+it reaches the window, the interval's smallest document decides whether the window is reported. As a shard's segments are all
+in its index, each search there succeeds; a pattern that is in no index starts anew one word to the left.
+
+Words are told apart by 48 bits of a 64-bit hash: two windows are mixed up only if they differ in nothing but words whose
+hashes meet, at a chance of 4e-15 a word. Null and empty texts have no word. A window counts as repeated if it also starts in a
+document with a smaller id; null ids come last. Repeats within one document, or between rows that repeat an id, stay.
+Very long texts are taken whole, in one group. An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.anchors import MULTIPLIER, Group, Method, Segments, deduplicate, mixed
+from weftline.llm.anchors import INVERSE, MULTIPLIER, Group, Method, Segments, deduplicate, mixed
 from weftline.llm.common import id_and_text, utf8
 
 WINDOW = 50
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[32, 9, 10, 11, 12, 13]] = True
-INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
 CHUNK = 2**19
 
 
@@ -65,13 +68,15 @@ def lead(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of a text of small numbers; 0 parts the segments. Patterns of up to `depth` symbols can be searched."""
+    """Index of a text of small numbers, where 0 parts the segments, for windows of a fixed size.
+
+    `docs` has a document for each place of the text; the least one is kept for each distinct window.
+    """
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.depth = depth
+    def __init__(self, text: np.ndarray, docs: np.ndarray, window: int):
         n, half = len(text), 1
         rank = text.astype(np.int64)
-        self.half_rank, self.half = rank, 1
+        half_rank, reach = rank, 1
         while True:
             behind = np.full(n, -1, np.int64)
             behind[: n - half] = rank[half:]
@@ -81,21 +86,29 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             half *= 2
-            if half < depth:
-                self.half_rank, self.half = rank, half
-            if half >= depth or rank.max(initial=0) == n - 1:
+            if half < window:
+                half_rank, reach = rank, half
+            if half >= window or rank.max(initial=0) == n - 1:
                 break
-        self.order = order
-        bwt = text[order - 1]
+        shorter, whole = (fresh(order, half_rank, reach, size) for size in (window - 1, window))
+        # Of suffixes in order: intervals that agree in all words of a window but its last, and the windows.
+        self.left = np.flatnonzero(shorter).astype(np.int32)
+        self.right = np.append(self.left[1:], n).astype(np.int32)
+        self.group = (np.cumsum(shorter) - 1).astype(np.int32)
+        self.number = (np.cumsum(whole) - 1).astype(np.int32)
+        self.least = np.minimum.reduceat(docs[order], np.flatnonzero(whole))
+        self.size = n
         self.levels = max(1, int(text.max(initial=1)).bit_length())
         self.words, self.counts, self.zeros = [], [], []
-        now, symbols = bwt.astype(np.int64), np.arange(int(text.max(initial=0)) + 1)
+        now, symbols = text[order - 1], np.arange(int(text.max(initial=0)) + 1)
+        del order, rank, half_rank
         first = np.zeros(len(symbols), np.int64)
         for level in range(self.levels - 1, -1, -1):
             bit = (now >> level & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
-            self.words.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.int64))
+            words = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 128 + 128, np.uint8)]), bitorder="little").view(np.uint64)
+            self.words.append(words)
+            pairs = np.bitwise_count(words).reshape(-1, 2).sum(axis=1, dtype=np.uint32)
+            self.counts.append(np.concatenate([[0], np.cumsum(pairs)]).astype(np.uint32))
             self.zeros.append(int(len(bit) - bit.sum()))
             first = self.step(len(self.words) - 1, symbols >> level & 1, first)
             now = np.concatenate([now[bit == 0], now[bit == 1]])
@@ -104,9 +117,10 @@ class FMIndex:
 
     def step(self, level: int, bit: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where positions go in the next level of the wavelet matrix, for the given bits."""
-        word = at >> 6
+        word, words = at >> 6, self.words[level]
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        ones = self.counts[level][word] + np.bitwise_count(self.words[level][word] & mask)
+        ones = self.counts[level][at >> 7].astype(np.int64) + np.bitwise_count(words[word] & mask)
+        ones += np.where(word & 1, np.bitwise_count(words[word - 1]), 0)
         return np.where(bit == 1, self.zeros[level] + ones, at - ones)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,45 +131,39 @@ class FMIndex:
         both += self.shift[twice]
         return both[: len(low)], both[len(low) :]
 
-    def classes(self, size: int) -> np.ndarray:
-        """Marks of the suffixes, in order, that differ from the one before within `size` symbols (half < size <= 2 half)."""
-        a, b = self.order[1:], self.order[:-1]
-        end = len(self.half_rank) - 1
-        ahead = size - self.half
-        equal = (self.half_rank[a] == self.half_rank[b]) & (self.half_rank[np.minimum(a + ahead, end)] == self.half_rank[np.minimum(b + ahead, end)])
-        return np.concatenate([[True], ~equal])
-
-
-def least_documents(index: FMIndex, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
-    """For every window of every streamed segment the least value of `docs` (by text position) where it occurs."""
-    shorter, whole = index.classes(window - 1), index.classes(window)
-    left = np.flatnonzero(shorter)
-    group = np.cumsum(shorter) - 1
-    right = np.append(left[1:], len(text))
-    number = np.cumsum(whole) - 1
-    least = np.minimum.reduceat(docs[index.order], np.flatnonzero(whole))
+
+def fresh(order: np.ndarray, half_rank: np.ndarray, half: int, size: int) -> np.ndarray:
+    """Marks of the suffixes, in order, that differ from the one before within `size` symbols (half < size <= 2 half)."""
+    a, b, end, ahead = order[1:], order[:-1], len(half_rank) - 1, size - half
+    equal = (half_rank[a] == half_rank[b]) & (half_rank[np.minimum(a + ahead, end)] == half_rank[np.minimum(b + ahead, end)])
+    return np.concatenate([[True], ~equal])
+
+
+def least_documents(index: FMIndex, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """For every window of every streamed segment the least document where it occurs in the index, or the largest number."""
     windows = sizes - window + 1
     base = np.cumsum(windows) - windows
     out = np.full(int(windows.sum()), np.iinfo(np.int64).max)
     live = np.arange(len(starts))
     start = windows - 1  # of the window sought
     have = np.zeros(len(starts), np.int64)
-    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(text))
+    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), index.size)
     while len(live):
         symbol = text[starts[live] + start[live] + window - have[live] - 1]
-        lo, hi = index.extend(symbol, low[live], high[live])
-        found = hi > lo
+        known = symbol < len(index.shift)
+        lo, hi = index.extend(np.where(known, symbol, 0), low[live], high[live])
+        found = known & (hi > lo)
         have[live] += 1
         full = found & (have[live] == window)
         hit = live[full]
-        out[base[hit] + start[hit]] = least[number[lo[full]]]
+        out[base[hit] + start[hit]] = index.least[index.number[lo[full]]]
         # A whole match gives up its last word and goes on one word to the left; a failed one starts anew there.
-        g = group[lo[full]]
-        lo[full], hi[full] = left[g], right[g]
+        g = index.group[lo[full]]
+        lo[full], hi[full] = index.left[g], index.right[g]
         have[hit] = window - 1
         start[hit] -= 1
         failed = live[~found]
-        lo[~found], hi[~found] = 0, len(text)
+        lo[~found], hi[~found] = 0, index.size
         have[failed] = 0
         start[failed] -= 1
         low[live], high[live] = lo, hi
@@ -180,8 +188,7 @@ def earlier_documents(segments: Segments, method: Method) -> np.ndarray:
     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     text = np.zeros(int(n.sum()) + len(n), np.int64)
     text[np.repeat(at, n) + step] = symbols[np.repeat(ends[first], n) + step]
-    docs = np.repeat(segments.doc[first], n + 1)
-    least = least_documents(FMIndex(text, window), text, at, n, docs, window)
+    least = least_documents(FMIndex(text, np.repeat(segments.doc[first], n + 1), window), text, at, n, window)
     windows = sizes - window + 1
     base = np.cumsum(n - window + 1) - (n - window + 1)
     step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)

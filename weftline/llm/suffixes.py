@@ -1,12 +1,15 @@
 """Suffix-array dedup: remove every byte covered by a 100-byte string that also starts earlier.
 
-Suffixes are range-partitioned by the leading bytes of their anchor at sampled splitters (see `anchors`), each
-bucket sorts its suffixes by a multikey quicksort over eight bytes at a time, and neighbours that agree on
-100 bytes form a class, of which the first start stays. Splitters part anchors, and equal strings have equal
-anchors, so no class crosses a boundary between buckets.
+Suffixes are range-partitioned by the leading bytes of their anchor at sampled splitters (see `anchors`); each bucket
+orders them by a multikey quicksort over eight bytes at a time, and neighbours that agree on 100 bytes form a class, of
+which the first start stays. Splitters part anchors, and equal strings have equal anchors, so no class crosses a
+boundary between buckets and nothing is left to compare there. Strings at anchors with very many surroundings are
+dealt out one by one and compared by 128-bit digests.
 
 Null and empty texts have no byte. "Earlier" is a smaller id, or an earlier start in the same document; null ids
-come last, and of rows that repeat an id equal starts count as one. Strings never cross documents.
+come last, and of rows that repeat an id equal starts count as one. Strings never cross documents. Very long texts are
+taken whole, in one group. An empty table gives no rows. Other columns, whatever their names, are ignored by
+`repeated_bytes` and kept by `drop_repeated`.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from weftline.llm.anchors import Group, Method, Segments, deduplicate
+from weftline.llm.anchors import Group, Method, Segments, deduplicate, steps
 from weftline.llm.common import id_and_text, unwrapped, utf8, wrapped
 
 WINDOW = 100
@@ -37,39 +41,45 @@ def lead(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def multikey_sort(data: np.ndarray, start: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey_quicksort(data: np.ndarray, start: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Order suffixes by group and then by their first `size` bytes; equal ones get equal class numbers.
 
-    Eight bytes are one key. A part whose keys are all equal needs no sorting, a part of one suffix is done.
+    Eight bytes are one key. All parts are split at once, each into smaller, equal and larger keys than that of its
+    middle suffix; the equal ones go on with their next eight bytes. A part of one suffix, or one that is equal in all bytes, is done.
     """
     pad = np.concatenate([data, np.zeros(8, np.uint8)])
     keys = np.ndarray((len(data) + 1,), ">u8", pad.tobytes(), strides=(1,))
     order = np.argsort(group, kind="stable")
     head = np.ones(len(order), bool)  # first of its class
     head[1:] = np.diff(group[order]) != 0
-    at = 0
-    while at < size:
-        number = np.cumsum(head) - 1
-        alone = np.bincount(number) == 1
-        live = np.flatnonzero(~alone[number])
-        if not len(live):
+    first = np.flatnonzero(head)
+    n, depth = np.diff(np.append(first, len(order))), np.zeros(len(first), np.int64)
+    while True:
+        live = (n > 1) & (depth < size)
+        first, n, depth = first[live], n[live], depth[live]
+        if not len(first):
             break
-        key = keys[start[order[live]] + at].astype(np.uint64)
-        if size - at < 8:
-            key >>= np.uint64(8 * (8 - size + at))
-        own = number[live]
-        first = np.flatnonzero(head[live])
-        sizes = np.diff(np.append(first, len(live)))
-        differs = np.logical_or.reduceat(key != np.repeat(key[first], sizes), first)
-        mixed = np.flatnonzero(np.repeat(differs, sizes))
-        if len(mixed):
-            k, g = key[mixed], own[mixed]
-            turn = np.lexsort((k, g))
-            spot = live[mixed]
-            order[spot] = order[spot[turn]]
-            k, g = k[turn], g[turn]
-            head[spot[1:]] |= (np.diff(g) != 0) | (k[1:] != k[:-1])
-        at += 8
+        base = np.cumsum(n) - n
+        within = steps(n)
+        at = np.repeat(first, n) + within
+        suffix = order[at]
+        key = keys[start[suffix] + np.repeat(depth, n)].astype(np.uint64)
+        key >>= np.repeat(8 * np.maximum(0, 8 - size + depth), n).astype(np.uint64)
+        pivot = np.repeat(key[base + n // 2], n)
+        less, same = key < pivot, key == pivot
+        n_less, n_same = np.add.reduceat(less, base, dtype=np.int64), np.add.reduceat(same, base, dtype=np.int64)
+        before = []  # how many of a kind stand before each suffix in its part
+        for mark in (less, same):
+            count = np.cumsum(mark) - mark
+            before.append(count - np.repeat(count[base], n))
+        below = np.repeat(n_less, n)
+        spot = np.where(less, before[0], np.where(same, below + before[1], below + np.repeat(n_same, n) + within - before[0] - before[1]))
+        order[np.repeat(first, n) + spot] = suffix
+        parts = np.stack([n_less, n_same, n - n_less - n_same], axis=1)
+        begins = np.stack([first, first + n_less, first + n_less + n_same], axis=1)
+        depth = (depth[:, None] + np.array([0, 8, 0])).reshape(-1)
+        first, n = begins.reshape(-1), parts.reshape(-1)
+        head[first[n > 0]] = True
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(head) - 1
     return order, number
@@ -90,7 +100,7 @@ def earlier_starts(segments: Segments, method: Method) -> np.ndarray:
     step = np.arange(int(n.sum())) - np.repeat(base, n)
     start = np.repeat(ends[first], n) + step
     offset = np.repeat(segments.anchor[first], n) - step  # of the anchor in the window
-    _, number = multikey_sort(data, start, offset.astype(np.int64), method.window)
+    _, number = multikey_quicksort(data, start, offset.astype(np.int64), method.window)
     doc, place = np.repeat(segments.doc[first], n), np.repeat(segments.place[first], n)
     order = np.lexsort((place, doc, number))
     head = order[np.flatnonzero(np.diff(number[order], prepend=-1))]
@@ -125,11 +135,10 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """`docs` without repeated bytes. A character of which only a part would remain goes whole; n_chars follows."""
     rows = wrapped(docs)
-    kind = rows.schema["row"].dataType.simpleString()
 
     def rest(own: Group, removed: np.ndarray) -> pa.Table:
         texts = [own.codes[a:b][~removed[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(own.ends[:-1].tolist(), own.ends[1:].tolist(), strict=True)]
         return pa.table({"row": own.table["row"], "text": pa.array(texts, pa.string())})
 
-    method = replace(METHOD, finish=rest, result=f"row {kind}, text string")
+    method = replace(METHOD, finish=rest, result=StructType([rows.schema["row"], StructField("text", StringType())]))
     return unwrapped(deduplicate(rows, method), docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
