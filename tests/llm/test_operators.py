@@ -198,17 +198,48 @@ def test_rare_links_are_audited(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in neighbours.near_vectors(df).where("n_links > 0").collect()} == {0: 1, 1: 1}
 
 
+def test_counts_in_parts(spark, monkeypatch):
+    """A group of near copies that is cut into parts, beside pairs and single vectors: links and components as by brute force."""
+    draw = np.random.default_rng(8)
+    base = draw.standard_normal((60, 16))
+    group = base[0] + 0.17 * draw.standard_normal((300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, group, base[5:25] + 0.05 * draw.standard_normal((20, 16)), group[:4]]))]
+    x = np.array([v for _, v in rows])
+    norm = np.sqrt((x * x).sum(1))
+    linked = (x @ x.T) / (norm[:, None] * norm[None, :]) >= 0.9
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(x))
+    for _ in range(20):
+        label = np.minimum(label, np.where(linked, label[None, :], len(x)).min(axis=1))
+    monkeypatch.setattr(neighbours, "PART", 64)
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {i: (int(linked[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))}
+
+
 def test_top_k(spark):
     rows, df = vectors(spark)
-    q = {i: np.floor(64 * np.array(v)) for i, v in rows if i < 902 and v is not None}
-    wanted = [(i, r + 1, j, int(s)) for i in q if i % 20 == 0 for r, (s, j) in enumerate(sorted(((-(q[i] @ q[j]), j) for j in q if j != i))[:20]) for s in [-s]]
-    found = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.embedding_search(df).collect()]
-    parted = topk.top_k(df, F.col("vec_id") % 20 == 0, 20, candidates_per_range=50, queries_per_group=4)
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in parted.collect()) == sorted(wanted)
-    assert sorted(found) == sorted(wanted)
+    rows += [(20, rows[3][1]), (1, [4.0] * 8)]  # ids that are there already
+    df = spark.createDataFrame([(i, v, 5, "x") for i, v in rows], "vec_id long, embedding array<double>, row long, cell string")
+    q = [(i, np.floor(64 * np.array(v))) for i, v in rows if i < 902 and v is not None]
+    wanted = [(i, r + 1, j, int(-s)) for a, (i, x) in enumerate(q) if i % 20 == 0 for r, (s, j) in enumerate(sorted((-(x @ y), j) for b, (j, y) in enumerate(q) if a != b)[:20])]
+    for found in (topk.embedding_search(df), topk.top_k(df, F.col("vec_id") % 20 == 0, 20, query_bytes=512, range_rows=50)):
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == sorted(wanted)
     assert topk.embedding_search(df.limit(0)).count() == 0
 
 
+def test_blocks_are_pruned():
+    """Vectors in clusters: far blocks are not scored, and nothing is lost."""
+    draw = np.random.default_rng(6)
+    x = np.repeat(draw.integers(-60, 60, (40, 16)), 128, axis=0) + draw.integers(-3, 4, (40 * 128, 16))
+    queries = x[::500]
+    search = topk.Search(np.arange(len(x))[::500], queries, np.full(len(queries), topk.LOWEST), 20)
+    search.add(np.arange(len(x)), np.arange(len(x)), x)
+    assert search.visited < 0.5 * search.blocks
+    for k, own in enumerate(range(0, len(x), 500)):
+        scores = sorted((-int(queries[k] @ x[j]), j) for j in range(len(x)) if j != own)[:20]
+        assert [(-s, j) for s, j in zip(search.best[k], search.who[k])] == scores
+
+
 def test_classifiers(spark, docs, empty):
     data = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")

@@ -256,10 +256,10 @@ I32, BIN = pa.int32(), pa.binary()
 SIGN = np.uint64(1 << 63)
 
 
-def sampled_splitters(docs: DataFrame, method: Method, buckets: int) -> np.ndarray:
+def sampled_splitters(docs: DataFrame, method: Method, buckets: int, groups: int) -> np.ndarray:
     """Bounds of the buckets: quantiles of the keys of recurring anchors, of which all documents give one in `sample`.
 
-    Every distinct segment counts once, as it is sent once a group. Only the quantiles reach the driver.
+    A distinct segment counts as often as groups send it, about. Only the quantiles reach the driver.
     """
     if buckets < 2:
         return np.zeros(0, np.uint64)
@@ -276,7 +276,8 @@ def sampled_splitters(docs: DataFrame, method: Method, buckets: int) -> np.ndarr
     kinds = docs.select("text").mapInArrow(sampled, "key long, hash long, segment long").groupBy("hash", "key", "segment").agg(F.count("*").alias("n"))
     anchors = kinds.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") > 1) & (F.col("kinds") <= method.hot))
     bounds = [i / buckets for i in range(1, buckets)]
-    found = kinds.join(anchors.select("hash"), "hash").agg(F.percentile_approx("key", bounds, 100 * buckets)).first()[0]
+    sent = F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(groups).cast("long"))))
+    found = kinds.join(anchors.select("hash"), "hash").select("key", sent).agg(F.percentile_approx("key", bounds, 100 * buckets)).first()[0]
     return np.unique(np.array(found or [], np.int64).view(np.uint64) ^ SIGN)
 
 
@@ -286,7 +287,7 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
     groups = max(1, -(-chars // method.group_chars))
     buckets = max(1, -(-chars // method.bucket_chars))
     hot_buckets = 4 * buckets
-    splitters = sampled_splitters(docs, method, buckets)
+    splitters = sampled_splitters(docs, method, buckets, groups)
     by_group = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def announce(table: pa.Table) -> pa.Table:

@@ -8,15 +8,16 @@ Jaccard similarity. With weight 1 for each shingle, as in the registered query,
 
 Documents with equal shingle sets are one node. Bands of coordinates are joined: in each bucket nodes are compared
 with pivots, and a candidate pair becomes a link if the exact similarity of the shingle sets reaches the
-threshold. Buckets whose nodes are not yet in one component get more pivots, 32 times as many in each round, until
-every pair there is compared or implied; nothing is capped. From the second round on, a pair becomes a candidate
+threshold. The first pivot is the least node. Buckets whose nodes are not yet in one component get more pivots, chosen by hash
+and 32 times as many in each round, until every pair there is compared or implied; nothing is capped or ordered as a whole. From the second round on, a pair becomes a candidate
 only if the parities of its sets allow the threshold: shingles are dealt into cells, and the cells in which
 one set has an odd number and the other an even one are at most the shingles that only one of them has. That bound
 is exact, so no link is lost, and near copies that stay apart from a large group are ruled out inside the join.
 Classes are connected components.
 
 Texts of one to four words have one shingle, all their words. Texts without words (null and empty ones) are in no
-group. Repeated rows and ids are one class. Other columns are ignored by `classes` and kept by `keep_one`.
+group. Repeated rows are one class, and so are rows that repeat an id where their texts are near. Very long texts are taken whole.
+An empty table has no classes. Other columns, whatever their names, are ignored by `classes` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.anchors import MULTIPLIER, mixed
-from weftline.llm.common import NO_ID, id_and_text, materialize, unwrapped, wrapped
+from weftline.llm.common import NO_ID, discard, id_and_text, materialize, unwrapped, wrapped
 from weftline.llm.components import components
 from weftline.llm.fmindex import read
 
@@ -39,6 +40,8 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Cells for parities, in words of 64 bits.
 PARITY = 32
+#: Pivots of a bucket are up to powers of this.
+PIVOTS = 32
 #: Ranks up to 1/4 are one cell; further cells double.
 FIRST_RANK = 0.25
 
@@ -193,32 +196,36 @@ def may_link(similar: float) -> Column:
 
 def near_links(sets: DataFrame, members: DataFrame, similar: float) -> DataFrame | None:
     """(node, label) of all nodes that have a link; None without any."""
-    links, labels, done, pivots = None, None, 0, 1
+    links, labels, turn = None, None, 0
     while True:
         if labels is None:
             placed = members.withColumn("label", F.col("node"))
         else:
             placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        by_bucket = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
+        by_bucket = placed.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
         # A bucket is open while its nodes are in several components and not all have been pivots.
-        open_ = materialize(by_bucket.where((F.col("x") < F.col("y")) & (F.col("n") > done)).select("bucket"), "open-buckets")
+        still = (F.col("x") < F.col("y")) & ((F.col("n") > PIVOTS ** (turn - 1)) if turn else F.lit(True))
+        open_ = materialize(by_bucket.where(still).select("bucket", "n", F.col("m.node").alias("a"), F.col("m.label").alias("label_a")), "open-buckets")
         if open_.isEmpty():
+            discard(open_)
             return labels
-        rows = placed.join(open_, "bucket")
-        wanted = (F.col("a") < F.col("node")) & (F.col("label") != F.col("label_a"))
-        if done:
-            rows = rows.join(sets.select("node", "size", "odd"), "node")
-            wanted &= may_link(similar)
-        first = Window.partitionBy("bucket").orderBy("node")
-        chosen = rows.withColumn("nth", F.row_number().over(first)).where((F.col("nth") <= pivots) & (F.col("nth") > done)).drop("nth")
-        chosen = chosen.withColumnsRenamed({"node": "a", "label": "label_a", "size": "size_a", "odd": "odd_a"})
-        pairs = rows.join(chosen, "bucket").where(wanted)
-        pairs = materialize(pairs.select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+        if not turn:  # the least node of a bucket is its first pivot
+            pairs = placed.join(open_, "bucket").where((F.col("a") < F.col("node")) & (F.col("label") != F.col("label_a"))).select("a", F.col("node").alias("b"))
+        else:
+            # A node's number in its bucket is about uniform below the bucket's size; those below PIVOTS ** turn are pivots now.
+            number = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
+            rows = placed.join(open_.select("bucket", "n"), "bucket").join(sets.select("node", "size", "odd"), "node").withColumn("number", number)
+            now = (F.col("number") < PIVOTS**turn) & (F.col("number") >= (PIVOTS ** (turn - 1) if turn > 1 else 0))
+            chosen = rows.where(now).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("odd").alias("odd_a"))
+            wanted = (F.col("a") != F.col("node")) & (F.col("label") != F.col("label_a")) & may_link(similar)
+            pairs = rows.join(chosen, "bucket").where(wanted).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        pairs = materialize(pairs.distinct(), "near-pairs")
         found = materialize(verified(pairs, sets, similar), "near-links")
+        discard(open_, pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        done, pivots = pivots, 32 * pivots
+        turn += 1
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
