@@ -1,15 +1,18 @@
 """Personal data: fixed patterns as seeds, and contexts learnt from them by bootstrapping. DataFrame functions only.
 
 Base spans come from one pattern for each kind, leftmost and non-overlapping, and are then checked (parts of
-an address, length and Luhn sum of a card, digits of a phone number). Bootstrapping looks at every whole base span,
+an address, length and Luhn sum of a card, digits of a phone number). A fifth kind of seeds are secrets: runs of at least
+16 letters of one case and digits, three or more of each, that overlap no base span. Bootstrapping looks at every whole seed,
 and elsewhere at every token with a digit or an at sign and every number written in groups ("mention"), and at the
 word before it ("context"). Mentions are told apart by their value, numbers by their digits. Contexts and mentions form a graph. A
 context's confidence is the confidence mass of its mentions, each as often as it occurs, over all occurrences of that word
 in the corpus, so copies change nothing; a mention takes the confidence of its best context; seeds keep 1. After a few rounds,
-confident contexts with enough distinct seeds turn their other mentions into spans of their main kind.
+confident contexts with enough distinct seeds turn their other mentions into spans of their main kind (of equally frequent kinds
+the first one listed).
 
-Null and empty texts have no spans. Repeated rows get the same spans each. Other columns are ignored by
-`spans` and kept as they are by `redact`. Offsets count code points, ends are exclusive.
+Null and empty texts have no spans; very long texts are searched whole. Repeated rows get the same spans each; an empty table has
+no rows. Other columns, whatever their names, are ignored by `personal_data` and kept as they are by `redact`. Offsets count
+code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import id_and_text, materialize, unwrapped, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
+#: With the kind whose seeds are no base spans.
+ALL = (*KINDS, "secret")
 
 # Possessive forms of the contract's patterns. A match can only start where the character before it does not
 # belong to its first run, or right behind the previous match (\G): this keeps the search linear.
@@ -29,9 +34,10 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": "(?<![A-Za-z0-9])(?:[a-z0-9]{16,}+|[A-Z0-9]{16,}+)(?![A-Za-z0-9])",
 }
 #: Texts without this have no match.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[a-z0-9]{16}|[A-Z0-9]{16}"}
 # A token for bootstrapping: holds a digit or an at sign, and no blank, quote, bracket, separator or equals sign.
 TOKEN = r"[^\s\"'<>()\[\]{},;:|=]"
 MENTION = rf"(?<!{TOKEN})(?:(?![0-9@]){TOKEN})*+[0-9@]{TOKEN}*+"
@@ -42,7 +48,9 @@ CANDIDATE = rf"{NUMBER}|{MENTION}"
 NEAR = 200
 
 SPAN = "array<struct<s:int,e:int,t:string>>"
-ROUNDS, CONFIDENT, LEAST_SEEDS, LEAST_LENGTH = 3, 0.8, 5, 6
+ROUNDS, CONFIDENT, LEAST_SEEDS = 3, 0.8, 5
+#: Matches of a text that are numbered at once; more are numbered in parts, so that work stays in proportion.
+TOGETHER = 500
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -50,14 +58,24 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["g"]
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t")))).alias("out"))
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    def behind(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["t"].alias("t")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def placed(all_: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        last = F.greatest(F.ceil(F.size(all_) / TOGETHER).cast("int") - 1, F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(all_, k * TOGETHER + 1, F.lit(TOGETHER)), first, add))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(parts, start, behind, lambda acc: F.flatten(acc["out"]))
+
+    return F.transform(F.array(pairs), placed)[0]  # so that the matches are found once
 
 
 def digits(t: Column) -> Column:
@@ -80,6 +98,7 @@ VALID = {
     "ip": lambda t: F.forall(F.split(t, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$")),
     "card": lambda t: F.when(F.length(digits(t)).between(16, 19), luhn(digits(t))).otherwise(False),
     "phone": lambda t: F.length(digits(t)).between(8, 15),
+    "secret": lambda t: (F.length(digits(t)) >= 3) & (F.length(t) - F.length(digits(t)) >= 3),
 }
 
 
@@ -88,24 +107,26 @@ def valid(kind: str) -> Column:
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add one array of valid base spans for each kind: columns _email, _ip, _card, _phone."""
+    """Add one array of valid spans for each kind: columns _email, _ip, _card, _phone, _secret."""
     t = F.col(text)
-    raw = docs.withColumns({f"_{k}": F.when(t.rlike(NEEDS[k]), matches(t, PATTERNS[k])).otherwise(F.array().cast(SPAN)) for k in KINDS})
-    return raw.withColumns({f"_{k}": valid(k) for k in KINDS})
+    raw = docs.withColumns({f"_{k}": F.when(t.rlike(NEEDS[k]), matches(t, PATTERNS[k])).otherwise(F.array().cast(SPAN)) for k in ALL})
+    sound = raw.withColumns({f"_{k}": valid(k) for k in ALL})
+    base = F.concat(*(F.col(f"_{k}") for k in KINDS))
+    return sound.withColumn("_secret", F.filter("_secret", lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"]))))
 
 
 def tagged(kind: str) -> Column:
     """Spans of a kind as (order of the kind, start, end)."""
-    return F.transform(f"_{kind}", lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    return F.transform(f"_{kind}", lambda x: F.struct(F.lit(ALL.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
 
-def base_spans() -> Column:
-    return F.concat(*(tagged(k) for k in KINDS))
+def base_spans(kinds: tuple[str, ...] = KINDS) -> Column:
+    return F.concat(*(tagged(k) for k in kinds))
 
 
 def joined(spans: Column) -> Column:
     """kind:start:end, by kind and then start, joined by commas."""
-    name = F.array(*(F.lit(k) for k in KINDS))
+    name = F.array(*(F.lit(k) for k in ALL))
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["s"], x["e"])))
 
 
@@ -131,7 +152,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     A base span inside another one and a token that overlaps a base span are no mentions.
     """
     t = F.col("text")
-    own = with_base(docs.where(t.rlike("[0-9@]"))).select("doc_id", "text", base_spans().alias("base"), matches(t, CANDIDATE).alias("tokens"))
+    own = with_base(docs.where(t.rlike("[0-9@]"))).select("doc_id", "text", base_spans(ALL).alias("base"), matches(t, CANDIDATE).alias("tokens"))
 
     def inside(x: Column, y: Column) -> Column:
         wider = (y["e"] - y["s"] > x["e"] - x["s"]) | ((y["e"] - y["s"] == x["e"] - x["s"]) & (y["k"] < x["k"]))
@@ -168,7 +189,7 @@ def confident_contexts(found: DataFrame, docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         contexts = (
             scored.groupBy("context")
-            .agg(F.sum(F.col("trust") * F.col("n")).alias("mass"), F.sum("n").alias("n"), F.sum(seed).alias("seeds"), F.mode("kind").alias("main"))
+            .agg(F.sum(F.col("trust") * F.col("n")).alias("mass"), F.sum("n").alias("n"), F.sum(seed).alias("seeds"), F.coalesce(F.mode("kind", True), F.lit(0)).alias("main"))
             .join(totals, "context")
             .withColumn("sure", F.col("mass") / F.greatest("n", "total") * F.least(F.lit(1.0), F.col("seeds") / LEAST_SEEDS))
         )
@@ -184,7 +205,7 @@ def discovered(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, extra): spans that confident contexts add, for rows that have any."""
     found = materialize(mentions(docs), "pii-mentions")
     trusted = confident_contexts(found, docs)
-    new = found.where(F.col("kind").isNull() & (F.col("e") - F.col("s") >= LEAST_LENGTH)).join(trusted, "context")
+    new = found.where(F.col("kind").isNull()).join(trusted, "context")
     return new.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("main_kind").alias("k"), "s", "e")).alias("extra"))
 
 
@@ -197,22 +218,25 @@ def with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Spans of every row: counts by kind and the digest of the base spans, and all spans as text."""
+    """Spans of every row: counts by kind and the digest of the base spans, all spans as text, and how many were added."""
     docs = id_and_text(docs)
     extra = discovered(docs)
-    base = with_base(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), base_spans().alias("base"))
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ALL]
+    base = with_base(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), *counts, base_spans().alias("base"), tagged("secret").alias("secrets"))
+    every = F.concat("base", "secrets", "extra")
     return with_extra(base, extra).select(
-        "doc_id", *(f"n_{k}" for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans")
-    )
+        "doc_id", *(f"n_{k}" for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"),
+        "n_secret", F.size("extra").cast("long").alias("n_discovered"), F.size(every).cast("long").alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; overlapping spans are replaced once. n_chars follows."""
     extra = discovered(id_and_text(docs))
-    rows = with_base(wrapped(docs)).select("doc_id", "text", "row", F.xxhash64("text").alias("text_hash"), base_spans().alias("base"))
+    rows = with_base(wrapped(docs)).select("doc_id", "text", "row", F.xxhash64("text").alias("text_hash"), base_spans(ALL).alias("base"))
     rows = with_extra(rows, extra)
     by_start = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    tag = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    tag = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc: Column, x: Column) -> Column:
