@@ -37,7 +37,7 @@ PATTERNS = {
     "secret": "(?<![A-Za-z0-9])(?:[a-z0-9]{16,}+|[A-Z0-9]{16,}+)(?![A-Za-z0-9])",
 }
 #: Texts without this have no match.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[a-z0-9]{16}|[A-Z0-9]{16}"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[0-9]"}
 # A token for bootstrapping: holds a digit or an at sign, and no blank, quote, bracket, separator or equals sign.
 TOKEN = r"[^\s\"'<>()\[\]{},;:|=]"
 MENTION = rf"(?<!{TOKEN})(?:(?![0-9@]){TOKEN})*+[0-9@]{TOKEN}*+"
@@ -51,13 +51,15 @@ SPAN = "array<struct<s:int,e:int,t:string>>"
 ROUNDS, CONFIDENT, LEAST_SEEDS = 3, 0.8, 5
 #: Matches of a text that are numbered at once; more are numbered in parts, so that work stays in proportion.
 TOGETHER = 500
+#: Context words of seeds are sent to all tasks up to this size; beyond it they are joined by a shuffle, with the same result.
+SEEN_BYTES = 16_000_000
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches as (start, end, text), from the matches and the gaps between them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    # What follows the last match is one gap more, whose match is null.
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
 
     def add(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["g"]
@@ -75,7 +77,8 @@ def matches(text: Column, pattern: str) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
         return F.aggregate(parts, start, behind, lambda acc: F.flatten(acc["out"]))
 
-    return F.transform(F.array(pairs), placed)[0]  # so that the matches are found once
+    all_of = F.transform(F.array(pairs), placed)[0]  # so that the matches are found once
+    return F.filter(all_of, lambda x: x["t"].isNotNull())
 
 
 def digits(t: Column) -> Column:
@@ -108,9 +111,11 @@ def valid(kind: str) -> Column:
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add one array of valid spans for each kind: columns _email, _ip, _card, _phone, _secret."""
-    t = F.col(text)
+    # Most texts have neither digit nor at sign: one look at them instead of one for each kind.
+    t = F.col("_searched")
+    docs = docs.withColumn("_searched", F.when(F.col(text).rlike("[0-9@]"), F.col(text)).otherwise(""))
     raw = docs.withColumns({f"_{k}": F.when(t.rlike(NEEDS[k]), matches(t, PATTERNS[k])).otherwise(F.array().cast(SPAN)) for k in ALL})
-    sound = raw.withColumns({f"_{k}": valid(k) for k in ALL})
+    sound = raw.drop("_searched").withColumns({f"_{k}": valid(k) for k in ALL})
     base = F.concat(*(F.col(f"_{k}") for k in KINDS))
     return sound.withColumn("_secret", F.filter("_secret", lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"]))))
 
@@ -180,10 +185,14 @@ def confident_contexts(found: DataFrame, docs: DataFrame) -> DataFrame:
         "pii-edges",
     )
     # How often each word occurs at all, whatever follows it.
-    seen = edges.where(F.col("kind").isNotNull()).select("context").distinct()
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\s\"'=:]+")).alias("context")).groupBy("context").count()
-    # An inner join: a semi join would be pushed below the counting, and all words would be shuffled.
-    totals = materialize(words.join(seen, "context").withColumnRenamed("count", "total"), "pii-words")
+    seen = materialize(edges.where(F.col("kind").isNotNull()).select("context").distinct(), "pii-seen")
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[\s\"'=:]+")).alias("context"))
+    size = seen.agg(F.sum(F.octet_length("context") + 64)).first()[0] or 0
+    if size <= SEEN_BYTES:  # other words end at the scan
+        counted = words.join(F.broadcast(seen), "context", "left_semi").groupBy("context").count()
+    else:  # an inner join: a semi join would be pushed below the counting, and all words would be shuffled
+        counted = words.groupBy("context").count().join(seen, "context")
+    totals = materialize(counted.withColumnRenamed("count", "total"), "pii-words")
     seed = F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)
     scored = edges.withColumn("trust", seed)
     for _ in range(ROUNDS):
