@@ -70,3 +70,18 @@ def test_clashing_columns_and_odd_rows(spark):
     found = {r[0]: tuple(r[1:]) for r in out.collect()}
     assert found[1] == found[None] == (done, "x", "y", "z", "e", "ab", "r", len(done)) and found[3][0] == ""
     assert pii.personal_data(spark.createDataFrame(ROWS, SCHEMA)).count() == len(ROWS)
+
+
+def test_contexts_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    rows = [(i, f"contact: user{i}@ex{i}.org today") for i in range(12)] + [(50, "contact: user99-at-mail today"), (51, ""), (52, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    by_broadcast = sorted(map(tuple, pii.personal_data(table).collect()))
+    monkeypatch.setattr(pii, "SEEN_BYTES", -1)
+    assert sorted(map(tuple, pii.personal_data(table).collect())) == by_broadcast
+    assert [r[-2] for r in by_broadcast if r[0] == 50] == [1]
+
+
+def test_matches_at_both_ends_and_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TOGETHER", 2)
+    rows = [(1, "1.2.3.4"), (2, "1.2.3.4 a@b.c 5.6.7.8 d@e.f 9.9.9.9 é x@y.z 300.1.1.1 7.7.7.7"), (3, "no digit"), (4, "@"), (5, "7")]
+    check(rows, {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
