@@ -38,8 +38,8 @@ def mixed_rows():
     return rows + [(None, " ".join(passage)), (None, " ".join(passage)), (7, " ".join(base)), (3, None), (4, ""), (5, "é" * 400)]
 
 
-#: As in production, and so small that several groups and buckets meet and anchors are hot.
-SIZES = [{}, {"group_chars": 4000, "bucket_chars": 3000, "sample": 2}, {"group_chars": 4000, "bucket_chars": 3000, "sample": 2, "hot": 3}]
+#: As in production, and so small that several groups and buckets meet, anchors are hot and windows are compared in parts.
+SIZES = [{}, {"group_chars": 4000, "bucket_chars": 3000, "sample": 2}, {"group_chars": 4000, "bucket_chars": 3000, "sample": 2, "hot": 3, "together": 50}, {"together": 300}]
 
 
 @pytest.mark.parametrize("sizes", SIZES)

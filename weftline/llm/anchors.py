@@ -40,6 +40,8 @@ INDEX = np.uint64(2**18 - 1)
 BLOCK = 2**17
 #: Distinct segments of an anchor from which on its windows are dealt one by one.
 HOT = 2000
+#: Windows, about, that are compared or marked at once; bounds the memory of a task, not what is compared.
+TOGETHER = 2**18
 
 
 @dataclass
@@ -70,6 +72,7 @@ class Method:
     bucket_chars: int = 8_000_000
     hot: int = HOT
     sample: int = 512  # one anchor hash in so many is sampled for the splitters
+    together: int = TOGETHER
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -166,6 +169,38 @@ def heads(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[fresh], kind
 
 
+def in_turn(places: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """`places` in stretches of about `most` in all of what they have of `sizes`."""
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes[places]) // most)) + 1
+    return np.split(places, cut)
+
+
+def by_anchor(segments: Segments, method: Method) -> np.ndarray:
+    """For each window of each segment what the method's engine says, from segments of some anchors at a time.
+
+    Equal windows have equal anchors, so windows of different parts are never equal.
+    """
+    sizes = segments.tokens.astype(np.int64)
+    windows, begin = sizes - method.window + 1, np.cumsum(sizes) - sizes
+    if windows.sum() <= method.together:
+        return method.engine(segments, method)
+    hashes = np.zeros(len(sizes), np.uint64)
+    for k in range(method.gram):
+        for byte in segments.data[begin + segments.anchor + k].T:
+            hashes = hashes * MULTIPLIER + byte + np.uint64(1)
+    hashes = mixed(hashes)
+    order = np.argsort(hashes, kind="stable")
+    first, kind = heads(order, hashes)
+    before = np.empty(len(order), np.int64)
+    before[order] = np.cumsum(windows[order]) - windows[order]
+    out, base = np.zeros(int(windows.sum()), bool), np.cumsum(windows) - windows
+    for _, part in parted((before[first] // method.together)[kind]):
+        own = segments.data[np.repeat(begin[part], sizes[part]) + steps(sizes[part])]
+        some = Segments(own, segments.tokens[part], segments.anchor[part], segments.doc[part], segments.place[part])
+        out[np.repeat(base[part], windows[part]) + steps(windows[part])] = method.engine(some, method)
+    return out
+
+
 class Group:
     """The anchors of one group of documents; the same on every call for the same rows."""
 
@@ -338,7 +373,7 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
         if table["b"][0].as_py() < buckets:
             tokens = read("tokens", np.int32)
             all_of = Segments(np.concatenate(read("data", np.uint8)).reshape(-1, method.width), np.concatenate(tokens), np.concatenate(read("anchor", np.int32)), doc, places)
-            earlier = method.engine(all_of, method)
+            earlier = by_anchor(all_of, method)
             counts = [int((t - method.window + 1).sum()) for t in tokens]
         else:
             d1, d2 = np.concatenate(read("data", np.uint64)).reshape(-1, 2).T
@@ -353,11 +388,7 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Group(left, method)
-        removed = np.zeros(len(own.codes) + 1, np.int32)
-
-        def mark(start: np.ndarray) -> None:
-            removed[:] += np.bincount(start, minlength=len(removed)).astype(np.int32)
-            removed[:] -= np.bincount(start + method.window, minlength=len(removed)).astype(np.int32)
+        repeated = np.zeros(len(own.codes), bool)  # where windows start that go
 
         def later(ids: np.ndarray, places: np.ndarray, first_ids: np.ndarray, first_places: np.ndarray) -> np.ndarray:
             return (ids > first_ids) | ((ids == first_ids) & (places > first_places) & method.within)
@@ -374,21 +405,24 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
                 found.append(unpacked(bits[b], int(n.sum())))
                 base += int(n.sum())
             found = np.concatenate(found)
-            chosen = np.flatnonzero((shared & ~hot)[own.which])
-            head, n = own.first[chosen], own.windows[chosen]
-            gone = found[np.repeat(offset[head], n) + steps(n)] | np.repeat(later(own.id[chosen], own.at[chosen], own.id[head], own.at[head]), n)
-            mark((np.repeat(own.start[chosen], n) + steps(n))[gone])
+            for chosen in in_turn(np.flatnonzero((shared & ~hot)[own.which]), own.windows, method.together):
+                head, n = own.first[chosen], own.windows[chosen]
+                gone = found[np.repeat(offset[head], n) + steps(n)] | np.repeat(later(own.id[chosen], own.at[chosen], own.id[head], own.at[head]), n)
+                repeated[(np.repeat(own.start[chosen], n) + steps(n))[gone]] = True
             # Windows at hot anchors: each by its own digest.
             found = np.zeros(len(routes.ids), bool)
             for b, mine in routes.hot:
                 found[mine] = unpacked(bits[b], len(mine))
-            chosen = np.flatnonzero(hot[own.which])
             offset[routes.hot_segments] = routes.base
-            n = own.windows[chosen]
-            kind = routes.kind[np.repeat(offset[own.first[chosen]], n) + steps(n)]
-            gone = found[kind] | later(np.repeat(own.id[chosen], n), np.repeat(own.at[chosen], n) + steps(n), routes.ids[kind], routes.places[kind])
-            mark((np.repeat(own.start[chosen], n) + steps(n))[gone])
-        return method.finish(own, np.cumsum(removed[:-1]) > 0)
+            for chosen in in_turn(np.flatnonzero(hot[own.which]), own.windows, method.together):
+                n = own.windows[chosen]
+                kind = routes.kind[np.repeat(offset[own.first[chosen]], n) + steps(n)]
+                gone = found[kind] | later(np.repeat(own.id[chosen], n), np.repeat(own.at[chosen], n) + steps(n), routes.ids[kind], routes.places[kind])
+                repeated[(np.repeat(own.start[chosen], n) + steps(n))[gone]] = True
+        # A token goes if one of the windows that start at it or up to a window before goes.
+        so_far = np.cumsum(repeated, dtype=np.int32)
+        so_far[method.window :] = so_far[method.window :] - so_far[: -method.window]
+        return method.finish(own, so_far > 0)
 
     hashes = by_group.groupBy("g").applyInArrow(announce, "b int, g int, h binary, n binary")
     shared = hashes.groupBy("b").applyInArrow(compare, "g int, b int, flags binary, hot binary")
