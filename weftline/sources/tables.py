@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, and still there when an executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def through(df: DataFrame, kind: str, **options) -> DataFrame:
     """Write `df` in a format and read it back with its schema."""
     path = scratch(df.sparkSession, kind)
