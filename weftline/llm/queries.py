@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fmindex, minhash, neighbours, packing, pieces, pii, quality, suffixes, topk, toxicity
+from weftline.llm import fmindex, lexical, minhash, mixing, neighbours, packing, pieces, pii, quality, suffixes, topk, toxicity, variants
 from weftline.llm.common import table
 
 
@@ -50,9 +50,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("h")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_top_k": topk.ORACLE}
+    return {"op9_exact_top_k": topk.ORACLE, "op11_spelling_variants": variants.ORACLE, "op13_ranked_search": lexical.ORACLE}
