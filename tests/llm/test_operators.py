@@ -41,6 +41,29 @@ def test_near_copies(spark, empty):
     assert minhash.classes(empty).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_told_by_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(i, t, "en", "s", "k") for i, t in [(1, a), (5, a), (5, b), (5, b), (6, b)]], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(df).collect()) == [(1, a), (5, b), (5, b)]
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    twins = ["one two three four " + "".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]
+    df = spark.createDataFrame([(i, t, "en", "s", "k") for i, t in enumerate(twins)], SCHEMA)
+    assert sorted(r.class_id for r in minhash.classes(df).collect()) == [0, 1]
+
+
+def test_one_huge_labelled_text_loses_no_label(spark):
+    """Very long texts come last in the bounded sample, and each label keeps its first text."""
+    draw = np.random.default_rng(5)
+    mild, rude = [[f"{x}{i}" for i in range(30)] for x in "mr"]
+    rows = [(i, " ".join(draw.choice(rude if i % 2 else mild, 12))) for i in range(120)] + [(1001, " ".join(rude * 20)), (1003, " ".join(mild * 20))]
+    docs = spark.createDataFrame([(*r, "en", "s", "k") for r in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    for some in (labels, labels.where("doc_id > 1000 OR doc_id % 2 = 0")):
+        scorer = toxicity.fit(docs, some, F.lit(True), most_chars=2000, steps=150)
+        found = {r.doc_id: r.score for r in toxicity.score(docs, scorer).collect()}
+        assert np.mean([found[i] for i in range(1, 120, 2)]) > np.mean([found[i] for i in range(0, 120, 2)]) + 0.3
+
+
 def test_classes_like_brute_force(spark):
     """Edited copies of one text, many of which are near to few others: all links count, in every round."""
     draw = np.random.default_rng(7)

@@ -101,3 +101,17 @@ def test_digests_of_equal_stretches_are_equal():
     for s, n, a, f in zip(own.start.tolist(), own.windows.tolist(), own.place.tolist(), own.first.tolist()):
         assert seen.setdefault((own.codes[s : s + n + 99].tobytes(), a - s), f) == f
     assert len(set(seen.values())) == len(seen)
+
+
+def test_long_words_that_sums_of_powers_take_for_one(spark):
+    """A word after the Thue-Morse sequence and its mirror: equal modulo 2^64 under any polynomial."""
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    same = " ".join(f"s{i}" for i in range(49))
+    rows = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, f"{same} {x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = fmindex.repeated_windows(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == words_report(rows)
+    assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 0, 3: 50}
+    codes, _, _ = fmindex.read(pa.array([f"{x} {y}"]))
+    assert codes[0] != codes[1]

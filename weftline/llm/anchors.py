@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.llm.common import NO_ID, stretches
+from weftline.llm.common import NO_ID, stretches, trimmed
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
@@ -69,7 +69,7 @@ class Method:
     finish: Callable
     result: str | StructType
     group_chars: int = 4_000_000
-    bucket_chars: int = 8_000_000
+    bucket_chars: int = 2_000_000
     hot: int = HOT
     sample: int = 512  # one anchor hash in so many is sampled for the splitters
     together: int = TOGETHER
@@ -362,7 +362,10 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
                 put(b, data.tobytes(), sizes.astype(np.int32).tobytes(), (own.place - own.start)[mine].astype(np.int32).tobytes(), own.id[mine].tobytes(), own.at[mine].tobytes())
             for b, mine in routes.hot:
                 put(b, routes.digests[mine].tobytes(), b"", b"", routes.ids[mine].tobytes(), routes.places[mine].tobytes())
-        return table_of({k: (v, I32 if k in "bg" else BIN) for k, v in out.items()})
+        table = table_of({k: (v, I32 if k in "bg" else BIN) for k, v in out.items()})
+        out.clear()
+        trimmed()
+        return table
 
     def judge(table: pa.Table) -> pa.Table:
         """For each window of each message, whether it starts earlier in the bucket than in its own group."""
@@ -384,7 +387,9 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
             counts = list(map(len, docs_of))
         ends = np.cumsum([0, *counts])
         bits = [packed(earlier[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"g": table["g"], "b": table["b"], "flags": table["flags"], "hot": table["hot"], "bits": pa.array(bits, BIN)})
+        answer = pa.table({"g": table["g"], "b": table["b"], "flags": table["flags"], "hot": table["hot"], "bits": pa.array(bits, BIN)})
+        trimmed()
+        return answer
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Group(left, method)
@@ -422,7 +427,9 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
         # A token goes if one of the windows that start at it or up to a window before goes.
         so_far = np.cumsum(repeated, dtype=np.int32)
         so_far[method.window :] = so_far[method.window :] - so_far[: -method.window]
-        return method.finish(own, so_far > 0)
+        rest = method.finish(own, so_far > 0)
+        trimmed()
+        return rest
 
     hashes = by_group.groupBy("g").applyInArrow(announce, "b int, g int, h binary, n binary")
     shared = hashes.groupBy("b").applyInArrow(compare, "g int, b int, flags binary, hot binary")

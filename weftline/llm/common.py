@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +77,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed() -> None:
+    """Give memory that a worker has freed back to the system, so that idle workers do not hold the peak of their last task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column without nulls, and the n+1 offsets of its rows in them."""
     column = column.cast(pa.large_binary())
@@ -102,6 +111,8 @@ def by_text(column: Column, kind: str, make) -> Column:
         for texts in chunks:
             texts = texts.fill_null("")
             yield pa.concat_arrays([pa.array(each(texts.slice(at, n))) for at, n in stretches(texts)] or [pa.array(each(texts))])
+        del each
+        trimmed()
 
     return F.arrow_udf(apply, kind)(column)
 

@@ -8,21 +8,21 @@ backward search from their right ends. The statistic kept for a position is the
 it reaches the window, the interval's smallest document decides whether the window is reported. As a shard's segments are all
 in its index, each search there succeeds; a pattern that is in no index starts anew one word to the left.
 
-Words are told apart by 48 bits of a 64-bit hash: two windows are mixed up only if they differ in nothing but words whose
-hashes meet, at a chance of 4e-15 a word. Null and empty texts have no word. A window counts as repeated if it also starts in a
+Words are told apart by 64 bits of their BLAKE2 digest: two windows are mixed up only if they differ in nothing but words whose
+digests meet, at a chance of 5e-20 for a pair of words. Texts cannot bring that about but by some 2^32 digests made to find such words. Null and empty texts have no word. A window counts as repeated if it also starts in a
 document with a smaller id; null ids come last. Repeats within one document, or between rows that repeat an id, stay.
 Very long texts are taken whole, in one group. An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.anchors import INVERSE, MULTIPLIER, Group, Method, Segments, deduplicate, mixed
+from weftline.llm.anchors import Group, Method, Segments, deduplicate
 from weftline.llm.common import id_and_text, utf8
 
 WINDOW = 50
@@ -31,8 +31,16 @@ SEPARATORS[[32, 9, 10, 11, 12, 13]] = True
 CHUNK = 2**19
 
 
+class Numbers(dict):
+    """The number of each word: 64 bits of its BLAKE2 digest, made once for each distinct word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return number
+
+
 def read(texts: pa.Array):
-    """Hashes of all words, ends of documents in words, and where each word is in the bytes."""
+    """Numbers of all words, ends of documents in words, and where each word is in the bytes."""
     data, ends = utf8(texts)
     apart = SEPARATORS[data]
     start = ~apart
@@ -44,27 +52,18 @@ def read(texts: pa.Array):
     last = ends[1:][np.diff(ends) > 0] - 1
     stop[last] = ~apart[last]
     first, after = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    codes = np.zeros(len(first), np.uint64)
-    at = 0
-    while at < len(first):  # words of one stretch of bytes at a time
-        end = max(at + 1, int(np.searchsorted(after, first[at] + CHUNK, side="right")))
-        low, high = int(first[at]), int(after[end - 1])
-        power = np.full(high - low, MULTIPLIER, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power)])
-        power[:] = INVERSE
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        s, e = first[at:end] - low, after[at:end] - low
-        codes[at:end] = mixed((sums[e] - sums[s]) * power[s] + (e - s).astype(np.uint64) * MULTIPLIER)
-        at = end
-    codes &= np.uint64(2**48 - 1)
-    return codes, np.searchsorted(first, ends), (data, first, after)
+    codes, number, whole = np.zeros(len(first), np.uint64), Numbers(), data.tobytes()
+    stops = np.searchsorted(first, ends)
+    for low, high in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+        while low < high:  # words of about CHUNK bytes of one document at a time
+            end = min(high, max(low + 1, int(np.searchsorted(after, first[low] + CHUNK, side="right"))))
+            codes[low:end] = np.fromiter(map(number.__getitem__, whole[first[low] : after[end - 1]].split()), np.uint64, end - low)
+            low = end
+    return codes, stops, (data, first, after)
 
 
 def lead(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return codes[place] >> np.uint64(16)
+    return codes[place] >> np.uint64(32)
 
 
 class FMIndex:
@@ -174,9 +173,7 @@ def least_documents(index: FMIndex, text: np.ndarray, starts: np.ndarray, sizes:
 def earlier_documents(segments: Segments, method: Method) -> np.ndarray:
     """For every window of every segment, whether it also starts in a document with a smaller id."""
     window, sizes = method.window, segments.tokens.astype(np.int64)
-    wide = np.zeros((len(segments.data), 8), np.uint8)
-    wide[:, : method.width] = segments.data
-    _, symbols = np.unique(wide.view(np.uint64).reshape(-1), return_inverse=True)
+    _, symbols = np.unique(np.ascontiguousarray(segments.data).view(np.uint64).reshape(-1), return_inverse=True)
     symbols = symbols.reshape(-1) + 1
     ends = np.cumsum(sizes) - sizes
     raw, seen = symbols.astype(np.int32).tobytes(), {}
@@ -211,7 +208,7 @@ def counts(own: Group, removed: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": own.table["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
 
 
-METHOD = Method(WINDOW, 8, 6, False, read, lead, earlier_documents, counts, "doc_id long, n_words long, n_removed long, kept_sha256 string", bucket_chars=24_000_000)
+METHOD = Method(WINDOW, 8, 8, False, read, lead, earlier_documents, counts, "doc_id long, n_words long, n_removed long, kept_sha256 string", bucket_chars=6_000_000)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:

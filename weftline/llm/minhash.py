@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.anchors import MULTIPLIER, mixed
-from weftline.llm.common import NO_ID, discard, id_and_text, materialize, unwrapped, wrapped
+from weftline.llm.common import NO_ID, discard, id_and_text, materialize, trimmed, unwrapped, wrapped
 from weftline.llm.components import components
 from weftline.llm.fmindex import read
 
@@ -130,7 +130,7 @@ def band_hashes(ranks: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count: bool = False) -> DataFrame:
-    """(doc_id, key, bands): a digest of the shingle set and the band hashes; nulls for texts without words."""
+    """(doc_id, content, key, bands): with `content` as it is, a digest of the shingle set and the band hashes; nulls for texts without words."""
 
     def sign(batches):
         for batch in batches:
@@ -144,9 +144,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, by_count:
                 shift = 8 * len(sets)
                 keys = [blake2b(raw[8 * a : 8 * b] + (raw[shift + 8 * a : shift + 8 * b] if by_count else b""), digest_size=16).digest() if b > a else None for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
                 lists = [x if ok else None for x, ok in zip(list(found), full.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "content", "key", "bands"])
+        trimmed()
 
-    return docs.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, content binary, key binary, bands array<long>")
 
 
 def parities(shingles_of: np.ndarray) -> np.ndarray:
@@ -166,6 +167,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 own = [sets[a:b] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
                 columns = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array(np.diff(sizes)), pa.array([parities(x) for x in own], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["node", "set", "size", "odd"])
+        trimmed()
 
     return docs.mapInArrow(collect, "node long, set binary, size long, odd array<long>")
 
@@ -228,10 +230,15 @@ def near_links(sets: DataFrame, members: DataFrame, similar: float) -> DataFrame
         turn += 1
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, kept): the smallest id of each document's class, and whether it is that document."""
+def content() -> Column:
+    """What a row is known by besides its id: rows that repeat an id may hold different texts."""
+    return F.unhex(F.sha2("text", 256))
+
+
+def classed_rows(docs: DataFrame, similar: float) -> DataFrame:
+    """(doc_id, content, class_id, kept) of every row."""
     docs = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    signed = materialize(signatures(docs), "signatures")
+    signed = materialize(signatures(docs.withColumn("content", content())), "signatures")
     nodes = materialize(
         signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("node"), "m.bands"),
         "nodes",
@@ -247,13 +254,21 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         classed = classed.withColumn("label", F.col("node"))
     else:
         classed = classed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    out = signed.select("doc_id", "key").join(classed.select("key", "label"), "key", "left")
+    out = signed.select("doc_id", "content", "key").join(classed.select("key", "label"), "key", "left")
     own = F.coalesce("label", "doc_id")
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.nullif(own, F.lit(NO_ID)).alias("class_id"), (F.col("doc_id") == own).alias("kept"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "content", F.nullif(own, F.lit(NO_ID)).alias("class_id"), (F.col("doc_id") == own).alias("kept"))
+
+
+def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, class_id, kept): the smallest id of each document's class, and whether it is that document."""
+    return classed_rows(docs, similar).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of `docs` that stay: of each class those with its smallest id. Rows without an id stay."""
-    gone = classes(docs, similar).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")).distinct()
+    """The rows of `docs` that stay: of each class those with its smallest id. Rows without an id stay.
+
+    Rows are told by id and text, so a row that repeats an id with another text stays or goes by its own class.
+    """
+    gone = classed_rows(docs, similar).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone"), F.col("content").alias("as"))
     rows = wrapped(docs)
-    return unwrapped(rows.join(gone, rows["doc_id"] == gone["gone"], "left_anti"), docs.columns)
+    return unwrapped(rows.join(gone.distinct(), (rows["doc_id"] == F.col("gone")) & (content() == F.col("as")), "left_anti"), docs.columns)
