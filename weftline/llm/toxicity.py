@@ -207,12 +207,15 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, label: str = "toxic", per_
     """
     sample = labelled_sample(labels, label, eligible, per_class)
     texts = id_and_text(docs).join(F.broadcast(sample), "doc_id")
-    # Of each label texts in the order of hashes, as far as half the characters last; one text of each id, so that
-    # the windows hold the sample only.
-    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    one = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n"))).alias("t"))
-    fitting = one.select("doc_id", "y", "t.*").withColumn("so_far", so_far).where(F.col("so_far") <= most_chars // 2).select("doc_id", "hash")
-    seen = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(fitting), ["doc_id", "hash"]).select("doc_id", "text", "y").toPandas()
+    # Of each label texts in the order of hashes, very long ones last, as far as half the characters last. One text of each id, so
+    # that the window holds the sample only. A label's first text is always taken, of one that is too long the beginning.
+    share = most_chars // 2
+    order = Window.partitionBy("y").orderBy(F.col("n") > share // 8, F.xxhash64("doc_id"), "doc_id")
+    one = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n"))).alias("t")).select("doc_id", "y", "t.*")
+    so_far = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fitting = one.withColumns({"so_far": so_far, "place": F.row_number().over(order)}).where((F.col("so_far") <= share) | (F.col("place") == 1)).select("doc_id", "hash")
+    found = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(fitting), ["doc_id", "hash"])
+    seen = found.select("doc_id", F.substring("text", 1, share).alias("text"), "y").toPandas()
     seen = seen.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("text")
     y = seen["y"].to_numpy(np.float32)
     if not len(y):
