@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.order import clashing
 
-def as_of(probes: DataFrame, facts: DataFrame, by: str, time: str, value: str, bucket: str = "day") -> DataFrame:
-    """For each probe the `value` of the last fact of its key at or before its time (null: none).
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def row_of(df: DataFrame) -> Column:
+    return F.struct(*(named(c) for c in df.columns))
+
+
+def as_of(probes: DataFrame, facts: DataFrame, by: str, time: str, value: str, bucket: str = "day", name: str | None = None) -> DataFrame:
+    """For each probe the `value` of the last fact of its key at or before its time, as column `name` (null: none).
+
+    `name` is that of the value if not given; a probe column of that name is an error, any other column stays as it is.
     Both sides are united and cut into buckets of time, so that a key with very many rows is many groups. A window over a
     key's bucket finds the last fact within it; what earlier buckets leave behind is one row a bucket, carried on by a
     window over these. Of facts with equal times the one with the largest value counts; facts without a key, a time or
     a value count nothing, and probes without a key or a time find none.
     """
-    kind = facts.schema[value].dataType
-    sound = facts.where(F.col(by).isNotNull() & F.col(time).isNotNull() & F.col(value).isNotNull())
-    both = probes.withColumn("_v", F.lit(None).cast(kind)).withColumn("_probe", F.lit(1)).unionByName(
-        sound.select(by, time, F.col(value).alias("_v")).withColumn("_probe", F.lit(0)), allowMissingColumns=True
-    ).withColumn("_b", F.date_trunc(bucket, time))
-    within = Window.partitionBy(by, "_b").orderBy(time, "_probe", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_near", F.last("_v", ignorenulls=True).over(within)).where("_probe = 1")
-    last = F.max(F.when(F.col("_probe") == 0, F.struct(time, "_v")))["_v"]
-    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.groupBy(F.col(by).alias("_key"), F.col("_b").alias("_at")).agg(last.alias("_last")).withColumn("_far", F.last("_last", ignorenulls=True).over(earlier))
-    out = found.join(carried, (F.col(by) == F.col("_key")) & (F.col("_b") == F.col("_at")), "left")
-    return out.withColumn(value, F.coalesce("_near", "_far")).drop("_v", "_probe", "_b", "_near", "_key", "_at", "_last", "_far")
+    name = name or value
+    clashing(probes, [name])
+    side = lambda df, row, v, probe: df.select(named(by).alias("key"), named(time).alias("time"), v.alias("v"), row.alias("row"), F.lit(probe).alias("probe"))
+    sound = facts.where(named(by).isNotNull() & named(time).isNotNull() & named(value).isNotNull())
+    whole = row_of(probes)
+    no_row, no_value = F.lit(None).cast(probes.select(whole.alias("row")).schema["row"].dataType), F.lit(None).cast(facts.schema[value].dataType)
+    both = side(probes, whole, no_value, 1).unionByName(side(sound, no_row, named(value), 0)).withColumn("at", F.date_trunc(bucket, "time"))
+    within = Window.partitionBy("key", "at").orderBy("time", "probe", "v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("near", F.last("v", ignorenulls=True).over(within)).where("probe = 1").select("key", "at", "row", "near")
+    last = F.max(F.when(F.col("probe") == 0, F.struct("time", "v")))["v"]
+    earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(F.col("key").alias("k"), F.col("at").alias("b")).agg(last.alias("last")).withColumn("far", F.last("last", ignorenulls=True).over(earlier))
+    out = found.join(carried, (F.col("key") == F.col("k")) & (F.col("at") == F.col("b")), "left")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in probes.columns), F.coalesce("near", "far").alias(name))
+
+
+def micros(df: DataFrame, time: str) -> Column:
+    """Microseconds since 1970; wall-clock times are counted as they are, whatever the session's zone."""
+    if df.schema[time].dataType.typeName() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), named(time))
+    return F.unix_micros(named(time).cast("timestamp"))
+
+
+def soon_after(first: DataFrame, then: DataFrame, by: str, time: str, span: float, names: tuple[str, str] = ("first", "then"), then_by: str | None = None, then_time: str | None = None) -> DataFrame:
+    """All pairs of rows with one key of which the second is after the first by at most `span` seconds, as two structs.
+
+    Time is cut into buckets as long as the span, a second part of the key: what follows a row within the span is in its
+    bucket or the next, so a first row stands in two buckets and a second one in its own. A key with very many rows is as many
+    groups as it has buckets. The span itself is tested on the pair. Rows without a key or a time are in no pair.
+    """
+    if span <= 0:
+        raise ValueError("span has to be positive")
+    length, then_by, then_time = round(span * 1_000_000), then_by or by, then_time or time
+    a = first.select(named(by).alias("k1"), micros(first, time).alias("t1"), row_of(first).alias("a")).where("k1 IS NOT NULL AND t1 IS NOT NULL")
+    b = then.select(named(then_by).alias("k2"), micros(then, then_time).alias("t2"), row_of(then).alias("b")).where("k2 IS NOT NULL AND t2 IS NOT NULL")
+    number = lambda t: F.expr(f"({t} - pmod({t}, {length})) DIV {length}")
+    a = a.select("k1", "t1", "a", F.explode(F.array(number("t1"), number("t1") + 1)).alias("b1"))
+    b = b.withColumn("b2", number("t2"))
+    pairs = a.join(b, (F.col("k1") == F.col("k2")) & (F.col("b1") == F.col("b2")) & (F.col("t2") > F.col("t1")) & (F.col("t2") <= F.col("t1") + length))
+    return pairs.select(F.col("a").alias(names[0]), F.col("b").alias(names[1]))

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from weftline.sources.tables import kept
 
-#: Range partitions; the driver gets one row of totals for each.
-PARTS = 64
-
-
 def clashing(df: DataFrame, names) -> None:
     """Raise if `df` has one of the columns that an operator adds."""
     taken = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
@@ -20,18 +16,19 @@ def clashing(df: DataFrame, names) -> None:
         raise ValueError(f"columns {taken} are there already; choose other names")
 
 
-def before(df: DataFrame, order: list[Column], sums: dict[str, Column], parts: int = PARTS) -> DataFrame:
+def before(df: DataFrame, order: list[Column], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
     """`df` with, for each of `sums`, the sum over all rows that stand before a row in `order`; 0 for the first.
 
     Rows that `order` leaves equal stand in any order, but all in one range partition: aggregate by the order's keys first
     where one of them may hold very many rows. Spark samples the bounds of the ranges; the table is written once, so that bounds
-    and totals belong to the same rows. Nulls of a summed column count as 0. The driver gets `parts` rows. An empty table stays empty.
+    and totals belong to the same rows. Nulls of a summed column count as 0. There are `parts` ranges, or as many as spark.sql.shuffle.partitions
+    at most; the driver gets a row of totals for each. An empty table stays empty.
     """
     clashing(df, [*sums, "_part", *(f"_at_{k}" for k in sums)])
-    ranged = kept(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = kept((df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id()), "ranged")
     zero = {k: F.coalesce(v, F.lit(0)) for k, v in sums.items()}
-    totals = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_at_{k}") for k, v in zero.items())).orderBy("_part").limit(parts)
-    rows = totals.collect()
+    totals = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_at_{k}") for k, v in zero.items()))
+    rows = sorted(totals.collect())
     starts = [[0, *accumulate(r[i + 1] for r in rows)][: len(rows)] for i in range(len(sums))]
     offsets = df.sparkSession.createDataFrame([(r[0], *(s[j] for s in starts)) for j, r in enumerate(rows)], totals.schema)
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

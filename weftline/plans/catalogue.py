@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import udfs
-from weftline.operators.joins import as_of
+from weftline.operators import evaluation
+from weftline.operators.contamination import shared_runs
+from weftline.operators.joins import as_of, soon_after
+from weftline.operators.quantiles import quantile
 from weftline.sources.tables import table, through, through_text, views
 from weftline.streaming import events
 
@@ -131,6 +134,13 @@ def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(probes, views_, "user_id", "ts", "view_id").select("event_id", "view_id")
 
 
+@frame("p14_interval_in_buckets", SQL["p14_interval_join"][1])
+def soon_bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    pairs = soon_after(rows.where("event_type = 'view'"), rows.where("event_type = 'purchase'"), "user_id", "ts", 3600)
+    return pairs.select(F.col("first.event_id").alias("view_id"), F.col("then.event_id").alias("purchase_id"))
+
+
 @frame("p25_pivot", "SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_nationkey")
 def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
@@ -256,6 +266,60 @@ def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(udfs.spread("o_totalprice"), 4).alias("spread"))
 
 
+WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+found AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 8], ' ') AS run FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS p FROM d WHERE len(w) >= 8)),
+runs AS (SELECT item_id, len(w) AS item_words, p AS at_, array_to_string(w[p + 1:p + 8], ' ') AS run FROM (SELECT item_id, w, unnest(range(len(w) - 7)) AS p FROM i WHERE len(w) >= 8)),
+hits AS (SELECT *, coalesce(lead(at_) OVER (PARTITION BY doc_id, item_id ORDER BY at_) - at_, 9) AS gap FROM found JOIN runs USING (run))
+SELECT doc_id, item_id, count(DISTINCT run) AS shared, CAST(sum(least(gap, 8)) AS BIGINT) AS covered, max(item_words) AS item_words, round(sum(least(gap, 8)) / max(item_words), 6) AS share, count(*) FILTER (WHERE gap > 8) AS passages
+FROM hits GROUP BY doc_id, item_id
+"""
+
+
+@frame("p92_contamination", CONTAMINATION)
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@frame("p28_exact_quantile", "SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.9), 4) AS q FROM lineitem GROUP BY l_returnflag")
+def exact_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantile(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", 0.9).select("l_returnflag", "n", F.round("quantile", 4).alias("q"))
+
+
+@frame("p28_text_length_quantile", "SELECT source, count(*) AS n, round(quantile_cont(CAST(length(text) AS DOUBLE), 0.5), 4) AS q FROM documents GROUP BY source")
+def length_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", F.length("text").alias("n_chars"))
+    return quantile(docs, "source", "n_chars", 0.5).select("source", "n", F.round("quantile", 4).alias("q"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with a score that has many ties: the share of letters and spaces in the first hundredths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.round(F.length(F.regexp_replace("text", "[^a-zA-Z ]", "")) * 100 / F.length("text")) / 100).alias("score"))
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id")
+
+
+SCORED = "SELECT round(length(regexp_replace(text, '[^a-zA-Z ]', '', 'g')) * 100 / length(text)) / 100 AS score, quality AS y FROM documents JOIN labels USING (doc_id)"
+POINTS = f"SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM ({SCORED}) GROUP BY score"
+CURVE = f"SELECT score AS threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER () AS BIGINT) AS all_pos, CAST(sum(neg) OVER () AS BIGINT) AS all_neg, pos, neg FROM ({POINTS}) WINDOW w AS (ORDER BY score DESC)"
+
+
+@frame("p98_curve", f"SELECT threshold, tp, fp, all_pos - tp AS fn, all_neg - fp AS tn, round(tp / (tp + fp), 9) AS precision, round(tp / all_pos, 9) AS recall, round(fp / all_neg, 9) AS fall_out FROM ({CURVE})")
+def score_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = ("precision", "recall", "fall_out")
+    return evaluation.curve(scored(spark, sf_dir), "score", "quality").withColumns({c: F.round(c, 9) for c in rates})
+
+
+@frame("p98_areas", f"SELECT CAST(max(all_pos) AS BIGINT) AS positives, CAST(max(all_neg) AS BIGINT) AS negatives, round(sum(neg * (tp - pos + pos / 2)) / max(all_pos) / max(all_neg), 9) AS auc, round(sum(pos * (tp / (tp + fp))) / max(all_pos), 9) AS average_precision FROM ({CURVE})")
+def score_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.areas(scored(spark, sf_dir), "score", "quality").withColumns({c: F.round(c, 9) for c in ("auc", "average_precision")})
+
+
+@frame("p98_calibration", f"SELECT CAST(least(9, floor(score * 10)) AS INT) AS bin, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(y), 9) AS rate FROM ({SCORED}) GROUP BY 1")
+def score_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.calibration(scored(spark, sf_dir), "score", "quality").withColumns({c: F.round(c, 9) for c in ("mean_score", "rate")})
+
+
 def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)
