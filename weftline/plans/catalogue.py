@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import udfs
-from weftline.operators import evaluation
+from weftline.functions import pages, udfs
+from weftline.operators import evaluation, redaction
 from weftline.operators.contamination import shared_runs
 from weftline.operators.joins import as_of, soon_after
 from weftline.operators.quantiles import quantile
+from weftline.operators.similarity import cosine_top_k
 from weftline.sources.tables import table, through, through_text, views
 from weftline.streaming import events
 
@@ -320,6 +321,62 @@ def score_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.calibration(scored(spark, sf_dir), "score", "quality").withColumns({c: F.round(c, 9) for c in ("mean_score", "rate")})
 
 
+def page_oracle() -> str:
+    """Blocks by the same patterns; references by name replaced one after the other, `amp` last."""
+    quoted = lambda x: x.replace("'", "''")
+    text = f"regexp_replace(html, '[{pages.BLOCK}{pages.OPEN}{pages.CLOSE}]', '', 'g')"
+    text = f"regexp_replace({text}, '{quoted(pages.tokenizer(''))}', '\\1\\2', 'g')"
+    for tag, mark in pages.TAGS.items():
+        text = f"regexp_replace({text}, '{quoted(tag)}', '{mark}', 'g')"
+
+    def plain(c: str) -> str:
+        for name in [*(n for n in pages.ENTITIES if n != "amp"), "amp"]:
+            c = f"replace({c}, '&{name};', '{pages.ENTITIES[name].replace(chr(39), chr(39) * 2)}')"
+        return f"trim(regexp_replace({c}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+    links = f"array_to_string(regexp_extract_all(raw, '{pages.OPEN}([^{pages.CLOSE}]*)', 1), ' ')"
+    unmarked = f"regexp_replace(raw, '[{pages.OPEN}{pages.CLOSE}]', '', 'g')"
+    return f"""
+WITH parts AS (SELECT page_id, string_split({text}, '{pages.BLOCK}') AS p FROM pages),
+raw AS (SELECT page_id, unnest(p) AS raw, generate_subscripts(p, 1) AS block FROM parts),
+blocks AS (SELECT page_id, block, {plain(unmarked)} AS text, length({plain(links)}) AS link_chars FROM raw),
+good AS (SELECT *, link_chars <= 0.5 * length(text) AND length(text) >= 20 AS good FROM blocks WHERE text <> '')
+SELECT page_id, coalesce(string_agg(text, chr(10) ORDER BY block) FILTER (WHERE good), '') AS text, count(*) AS n_blocks, count(*) FILTER (WHERE good) AS n_kept FROM good GROUP BY page_id
+"""
+
+
+@frame("p95_page_texts", page_oracle())
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_texts(table(spark, sf_dir, "pages"))
+
+
+LINES = "SELECT DISTINCT doc_id, regexp_replace(lower(trim(line)), '[0-9]+', '0', 'g') AS shape FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''"
+FREQUENT = f"SELECT shape, count(*) AS docs FROM ({LINES}) GROUP BY shape HAVING count(*) >= greatest({redaction.LEAST}, (SELECT ceil({redaction.SHARE} * count(*)) FROM documents))"
+
+
+@frame("p93_frequent_lines", FREQUENT)
+def frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.frequent_shapes(table(spark, sf_dir, "documents"))
+
+
+def redaction_oracle() -> str:
+    text = "string_agg(CASE WHEN regexp_replace(lower(trim(line)), '[0-9]+', '0', 'g') IN (SELECT shape FROM known) THEN '[licence]' ELSE line END, chr(10) ORDER BY place)"
+    for kind, pattern in redaction.KINDS.items():
+        text = f"regexp_replace({text}, '{pattern}', '[{kind}]', 'g')"
+    lines = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents"
+    return f"WITH known AS (SELECT shape FROM ({FREQUENT}) WHERE regexp_matches(shape, '{redaction.LICENCE}')) SELECT doc_id, {text} AS text FROM ({lines}) GROUP BY doc_id"
+
+
+@frame("p93_redacted", redaction_oracle())
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@frame("p97_cosine_top_k", "SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 10")
+def nearest_by_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)
