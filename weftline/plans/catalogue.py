@@ -16,6 +16,7 @@ from weftline.operators.contamination import shared_runs
 from weftline.operators.joins import as_of, soon_after
 from weftline.operators.quantiles import quantile
 from weftline.operators.similarity import cosine_top_k
+from weftline.operators.windows import over_ranges
 from weftline.sources.tables import table, through, through_text, views
 from weftline.streaming import events
 
@@ -377,6 +378,13 @@ def nearest_by_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+@frame("p40_large_partitions", "SELECT l_returnflag, l_extendedprice, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, sum(l_quantity) OVER w AS so_far, lag(l_extendedprice, 1) OVER w AS before, lead(l_extendedprice, 3) OVER w AS after FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC)")
+def large_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    out = over_ranges(rows, "l_returnflag", [("l_extendedprice", False)], ("rank", "dense_rank"), {"so_far": "l_quantity"}, {"before": ("l_extendedprice", 1), "after": ("l_extendedprice", -3)})
+    return out.drop("l_quantity")
+
+
 def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)
