@@ -6,7 +6,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampNTZType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
 
 @F.pandas_udf(DoubleType())
@@ -43,3 +44,40 @@ class Words:
     def eval(self, name: str):
         for place, word in enumerate((name or "").split(" ")):
             yield word, place
+
+
+@F.udtf
+class Sessions:
+    """A table function over a table: its rows come by key and time, and each stretch without a gap of `minutes` is one row.
+
+    `analyze` names the key and time columns, so the caller needs no PARTITION BY, and sees only these columns of the table. State is a
+    few values, whatever the size of a key. Rows without a time are left out.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, time: AnalyzeArgument, minutes: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or None in (key.value, time.value, minutes.value):
+            raise ValueError("a table, the names of its key and time columns and a number of minutes are needed")
+        kinds = {f.name: f.dataType for f in rows.dataType.fields}
+        if missing := {key.value, time.value} - set(kinds):
+            raise ValueError(f"the table has no column {sorted(missing)}")
+        schema = StructType([StructField(key.value, kinds[key.value]), StructField("start", TimestampNTZType()), StructField("n", LongType())])
+        return AnalyzeResult(schema=schema, partitionBy=[PartitioningColumn(key.value)], orderBy=[OrderingColumn(time.value)], select=[SelectedColumn(key.value), SelectedColumn(time.value)])
+
+    def __init__(self):
+        self.now = None
+
+    def eval(self, rows, key: str, time: str, minutes: int):
+        at = rows[time]
+        if at is None:
+            return
+        if self.now and (at - self.now[2]).total_seconds() < 60 * minutes:
+            self.now[2], self.now[3] = at, self.now[3] + 1
+            return
+        if self.now:
+            yield self.now[0], self.now[1], self.now[3]
+        self.now = [rows[key], at, at, 1]
+
+    def terminate(self):
+        if self.now:
+            yield self.now[0], self.now[1], self.now[3]

@@ -385,6 +385,25 @@ def large_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("l_quantity")
 
 
+VISITS = "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, lead(min(ts)) OVER (PARTITION BY user_id ORDER BY min(ts)) AS later FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"
+
+
+@frame("p77_visits_by_timer", f"SELECT user_id, first, last, n FROM ({VISITS}) WHERE later IS NOT NULL OR last + INTERVAL '12 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
+def visits_by_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.closed_visits(spark, sf_dir)
+
+
+@frame("p77_map_state", "SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS n FROM events GROUP BY user_id")
+def map_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.kinds_so_far(spark, sf_dir)
+
+
+@frame("p82_table_argument", SQL["p72_session"][1])
+def table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    return udfs.Sessions(rows.asTable(), F.lit("user_id"), F.lit("ts"), F.lit(30))
+
+
 def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)

@@ -28,12 +28,12 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_of(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema)
 
 
-def drained(df: DataFrame, mode: str, name: str, at: str | None = None) -> DataFrame:
-    """Run a streaming query until its input ends and read what it wrote.
+def drained(df: DataFrame, mode: str, name: str, at: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """Run a streaming query until its input ends and read what it wrote, in the session `spark` if it is not the query's own.
 
     In complete mode each result replaces the last one. With `at` an earlier run is continued from its checkpoint.
     """
-    spark, out = df.sparkSession, at or scratch(df.sparkSession, name)
+    spark, out = spark or df.sparkSession, at or scratch(df.sparkSession, name)
     schema = df.schema
 
     def put(batch: DataFrame, number: int) -> None:
@@ -103,13 +103,13 @@ def with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream(spark, sf_dir).select("event_id", "user_id").join(customers, "user_id"), "append", "segments").select("event_id", "c_mktsegment")
 
 
-def in_runs(parts: list[DataFrame], schema) -> DataFrame:
-    """Closed hours of a stream that stops after each part of its rows and goes on from its checkpoint with the next."""
+def in_runs(parts: list[DataFrame], schema, run=None) -> DataFrame:
+    """What `run` (closed hours if not given) makes of a stream that stops after each part of its rows and goes on from its checkpoint with the next."""
     spark = parts[0].sparkSession
     path, at = scratch(spark, "parts"), scratch(spark, "runs")
     for part in parts:
         part.write.mode("append").parquet(path)
-        out = closed_hours(stream_of(spark, path, schema), at)
+        out = (run or closed_hours)(stream_of(spark, path, schema), at)
     return out
 
 
@@ -148,17 +148,114 @@ class Totals(StatefulProcessor):
         pass
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def rocks(spark: SparkSession, idle: bool = True) -> SparkSession:
+    """A session beside the caller's that keeps state in RocksDB, so that no setting of the caller's changes.
+
+    `idle` batches, without rows, run timers of event time; state that expires in processing time would ask for them without end.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", idle)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
 
 
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user so far and the highest value, as state of our own in RocksDB; the last row of a user counts."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKS)
-    try:
-        grouped = stream(spark, sf_dir).select("user_id", "value").groupBy("user_id")
-        totals = grouped.transformWithStateInPandas(Totals(), "user_id long, n long, top double", "update", "none")
-        return drained(totals, "update", "totals").groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
-    finally:
-        spark.conf.set(setting, before)
+    grouped = stream(rocks(spark), sf_dir).select("user_id", "value").groupBy("user_id")
+    totals = grouped.transformWithStateInPandas(Totals(), "user_id long, n long, top double", "update", "none")
+    return drained(totals, "update", "totals", spark=spark).groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+
+
+QUIET = pd.Timedelta(hours=12)
+
+
+class Visits(StatefulProcessor):
+    """Visits of a user: events with less than QUIET between them. A timer on event time closes a visit once no event can follow.
+
+    The state is the list of the visit's event times; a later visit in the same batch closes the one before at once.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "ts timestamp")
+
+    def closed(self, key, times: list) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]], "first": [times[0]], "last": [times[-1]], "n": [len(times)]})
+
+    def keep(self, times: list) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.times.put([(t,) for t in times])
+        self.handle.registerTimer(int((times[-1] + QUIET).timestamp() * 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = [pd.Timestamp(t[0]) for t in self.times.get()] if self.times.exists() else []
+        times = sorted(known + [pd.Timestamp(t) for chunk in rows for t in chunk["ts"]])
+        begins = [0, *(i for i in range(1, len(times)) if times[i] - times[i - 1] >= QUIET), len(times)]
+        for a, b in zip(begins[:-2], begins[1:-1], strict=True):
+            yield self.closed(key, times[a:b])
+        self.keep(times[begins[-2] :])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        times = [pd.Timestamp(t[0]) for t in self.times.get()] if self.times.exists() else []
+        self.times.clear()
+        if times:
+            yield self.closed(key, times)
+
+    def close(self) -> None:
+        pass
+
+
+def visits(events: DataFrame, at: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """(user_id, first, last, n) of every visit that is over, each once; open ones stay in the state, with their timers, for the next run."""
+    grouped = events.withWatermark("ts", LATE).select("user_id", "ts").groupBy("user_id")
+    out = grouped.transformWithStateInPandas(Visits(), "user_id long, first timestamp, last timestamp, n long", "append", "eventtime")
+    found = drained(out, "append", "visits", at, spark)
+    return found.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+def closed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits over a restart: the second run goes on with the state and timers of the first."""
+    rows, first, second = halves(rocks(spark), sf_dir)
+    return in_runs([first, second], rows.schema, lambda events, at: visits(events, at, spark))
+
+
+class Kinds(StatefulProcessor):
+    """The kinds of events of a user, in a map whose entries expire some time after they were last seen."""
+
+    def __init__(self, expiry_ms: int):
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kinds = handle.getMapState("kinds", "kind string", "n long", self.expiry_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[str, int] = {}
+        for chunk in rows:
+            for kind, n in chunk["event_type"].value_counts().items():
+                fresh[kind] = fresh.get(kind, 0) + int(n)
+        for kind, n in fresh.items():
+            known = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
+            self.kinds.updateValue((kind,), (known + n,))
+        held = {k[0]: v[0] for k, v in self.kinds.iterator()}
+        yield pd.DataFrame({"user_id": [key[0]], "kinds": [len(held)], "n": [sum(held.values())]})
+
+    def close(self) -> None:
+        pass
+
+
+def recent_kinds(events: DataFrame, at: str | None = None, expiry_ms: int = 86_400_000, spark: SparkSession | None = None) -> DataFrame:
+    """(user_id, kinds, n) after each batch: the kinds of events of a user seen within the expiry (processing time), and these events.
+
+    The events' session must not run idle batches (`rocks(spark, idle=False)`).
+    """
+    grouped = events.where("event_type IS NOT NULL").select("user_id", "event_type").groupBy("user_id")
+    out = grouped.transformWithStateInPandas(Kinds(expiry_ms), "user_id long, kinds long, n long", "update", "processingtime")
+    return drained(out, "update", "kinds", at, spark)
+
+
+def kinds_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and events of each user in all of a restarted stream; the largest counts are the last ones, as nothing expires so soon."""
+    rows, first, second = halves(rocks(spark, idle=False), sf_dir)
+    found = in_runs([first, second], rows.schema, lambda events, at: recent_kinds(events, at, spark=spark))
+    return found.groupBy("user_id").agg(F.max("kinds").alias("kinds"), F.max("n").alias("n"))
