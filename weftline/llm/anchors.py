@@ -73,6 +73,8 @@ class Method:
     hot: int = HOT
     sample: int = 512  # one anchor hash in so many is sampled for the splitters
     together: int = TOGETHER
+    #: From what `read` gave third and places of tokens, names that tell the tokens apart; without it the tokens do so themselves.
+    names: Callable | None = None
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -123,6 +125,11 @@ def stretch_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, salt:
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * salt)
 
 
+def digests_of(part: np.ndarray, begin: np.ndarray, sizes: np.ndarray, offset: np.ndarray) -> list[np.ndarray]:
+    """Two digests of stretches of a block with the offset of their anchor."""
+    return [mixed(stretch_hashes(part, begin, begin + sizes, salt) + offset * OTHER) for salt in (MULTIPLIER, OTHER)]
+
+
 def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Segments of a group in order: first window, number of windows, place and hash of the anchor, two digests of the tokens."""
     own = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
@@ -141,8 +148,7 @@ def runs(codes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[n
         n = np.diff(np.append(first, len(start)))
         begin, anchor = start[first], place[first]
         offset = (anchor - begin).astype(np.uint64)
-        digests = [mixed(stretch_hashes(part, begin, begin + n + window - 1, salt) + offset * OTHER) for salt in (MULTIPLIER, OTHER)]
-        out.append((begin + at, n, anchor + at, hashes[anchor], *digests))
+        out.append((begin + at, n, anchor + at, hashes[anchor], *digests_of(part, begin, n + window - 1, offset)))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
@@ -212,17 +218,42 @@ class Group:
         self.ids = ids[order]
         self.method = method
         self.codes, self.ends, self.extra = method.read(self.table["text"].combine_chunks())
+        self.tokens = self.codes
         self.start, self.windows, self.place, self.hash, d1, d2 = runs(self.codes, self.ends, method.window, method.gram)
         self.doc = np.searchsorted(self.ends, self.start, side="right") - 1
         self.id, self.at = self.ids[self.doc], self.start - self.ends[self.doc]
-        # Of equal segments the one with the least document and place stands for all.
-        self.firsts, kind = heads(np.lexsort((self.at, self.id, d2, d1)), d1, d2)
-        self.first = self.firsts[kind]
-        self.firsts = np.sort(self.firsts)
+        self.stand(d1, d2)
         self.distinct, self.which = np.unique(self.hash, return_inverse=True)
         self.kinds = np.bincount(self.which[self.firsts], minlength=len(self.distinct))
         self.twice = np.bincount(self.which, minlength=len(self.distinct)) > 1
 
+    def stand(self, d1: np.ndarray, d2: np.ndarray) -> None:
+        """Of equal segments the one with the least document and place stands for all."""
+        self.firsts, kind = heads(np.lexsort((self.at, self.id, d2, d1)), d1, d2)
+        self.first = self.firsts[kind]
+        self.firsts = np.sort(self.firsts)
+
+    def named(self, shared: np.ndarray) -> None:
+        """From now on tokens of segments at shared anchors are told by their names."""
+        if self.method.names is None:
+            return
+        some, w = np.flatnonzero(shared[self.which]), self.method.window
+        mark = np.zeros(len(self.codes) + 1, np.int32)
+        np.add.at(mark, self.start[some], 1)
+        np.add.at(mark, self.start[some] + self.windows[some] + w - 1, -1)
+        places = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        self.tokens = np.zeros(len(self.codes), np.uint64)
+        self.tokens[places] = self.method.names(self.extra, places)
+        digests = np.zeros((2, len(self.start)), np.uint64)
+        for block, mine in parted(self.start[some] // BLOCK):
+            mine = some[mine]
+            part = self.tokens[block * BLOCK : block * BLOCK + BLOCK + w - 1]
+            digests[:, mine] = digests_of(part, self.start[mine] - block * BLOCK, self.windows[mine] + w - 1, (self.place - self.start)[mine].astype(np.uint64))
+        # Others are not sent: each may stand for itself.
+        rest = np.flatnonzero(~shared[self.which])
+        digests[0, rest], digests[1, rest] = self.hash[rest], rest.astype(np.uint64)
+        self.stand(*digests)
+
     def announced(self, buckets: int) -> list[tuple[int, np.ndarray]]:
         return parted((self.distinct % np.uint64(buckets)).astype(np.int64))
 
@@ -234,13 +265,14 @@ class Group:
             own = mine[b]
             shared[own] |= unpacked(bits, len(own))
             hot[own] = unpacked(more, len(own))
+        self.named(shared)
         return shared, hot
 
     def windows_of(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Digests of all windows of segments, in a row."""
         w = self.method.window
         sizes = self.windows[segments] + w - 1
-        tokens = self.codes[np.repeat(self.start[segments], sizes) + steps(sizes)]
+        tokens = self.tokens[np.repeat(self.start[segments], sizes) + steps(sizes)]
         inside = np.repeat(np.cumsum(sizes) - sizes, self.windows[segments]) + steps(self.windows[segments])
         out = [np.zeros(len(inside), np.uint64) for _ in range(2)]
         for at in range(0, max(0, len(tokens) - w + 1), BLOCK):
@@ -357,7 +389,7 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
             routes = Routes(own, shared, hot, splitters, buckets, hot_buckets)
             for b, mine in routes.plain:
                 sizes = own.windows[mine] + method.window - 1
-                tokens = own.codes[np.repeat(own.start[mine], sizes) + steps(sizes)]
+                tokens = own.tokens[np.repeat(own.start[mine], sizes) + steps(sizes)]
                 data = np.ascontiguousarray(tokens.view(np.uint8).reshape(len(tokens), -1)[:, : method.width])
                 put(b, data.tobytes(), sizes.astype(np.int32).tobytes(), (own.place - own.start)[mine].astype(np.int32).tobytes(), own.id[mine].tobytes(), own.at[mine].tobytes())
             for b, mine in routes.hot:
@@ -401,6 +433,7 @@ def deduplicate(docs: DataFrame, method: Method) -> DataFrame:
         if right.num_rows:
             answers = list(zip(right["b"].to_pylist(), right["bits"].to_pylist(), strict=True))
             shared, hot = (next(unpacked(x, len(own.distinct)) for x in right[k].to_pylist() if x is not None) for k in ("flags", "hot"))
+            own.named(shared)
             routes, bits = Routes(own, shared, hot, splitters, buckets, hot_buckets), dict(answers)
             # Windows of plain segments: the answer to the segment that stands for them, or the place of that one.
             offset, found, base = np.zeros(len(own.start), np.int64), [np.zeros(0, bool)], 0

@@ -8,7 +8,7 @@ backward search from their right ends. The statistic kept for a position is the
 it reaches the window, the interval's smallest document decides whether the window is reported. As a shard's segments are all
 in its index, each search there succeeds; a pattern that is in no index starts anew one word to the left.
 
-Words are told apart by 64 bits of their BLAKE2 digest: two windows are mixed up only if they differ in nothing but words whose
+Anchors come from plain hashes of words, which only decide what meets; words of segments that recur are told apart by 64 bits of their BLAKE2 digest: two windows are mixed up only if they differ in nothing but words whose
 digests meet, at a chance of 5e-20 for a pair of words. Texts cannot bring that about but by some 2^32 digests made to find such words. Null and empty texts have no word. A window counts as repeated if it also starts in a
 document with a smaller id; null ids come last. Repeats within one document, or between rows that repeat an id, stay.
 Very long texts are taken whole, in one group. An empty table gives no rows; other columns, whatever their names, are ignored.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.anchors import Group, Method, Segments, deduplicate
+from weftline.llm.anchors import MULTIPLIER, OTHER, Group, Method, Segments, deduplicate, mixed
 from weftline.llm.common import id_and_text, utf8
 
 WINDOW = 50
@@ -39,8 +39,8 @@ class Numbers(dict):
         return number
 
 
-def read(texts: pa.Array):
-    """Numbers of all words, ends of documents in words, and where each word is in the bytes."""
+def boundaries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, their ends, and where words begin and end in the bytes."""
     data, ends = utf8(texts)
     apart = SEPARATORS[data]
     start = ~apart
@@ -51,15 +51,43 @@ def read(texts: pa.Array):
     stop[:-1] &= apart[1:]
     last = ends[1:][np.diff(ends) > 0] - 1
     stop[last] = ~apart[last]
-    first, after = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    codes, number, whole = np.zeros(len(first), np.uint64), Numbers(), data.tobytes()
-    stops = np.searchsorted(first, ends)
+    return data, ends, np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def read(texts: pa.Array):
+    """Numbers of all words, ends of documents in words, and where each word is in the bytes."""
+    data, ends, first, after = boundaries(texts)
+    return numbers((data, first, after), np.arange(len(first)), np.searchsorted(first, ends)), np.searchsorted(first, ends), (data, first, after)
+
+
+def numbers(words: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray, stops: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the words at `places`; with `stops`, the ends of documents, of all words."""
+    data, first, after = words
+    number, whole, out = Numbers(), data.tobytes(), np.zeros(len(places), np.uint64)
+    if stops is None:
+        found = map(whole.__getitem__, map(slice, first[places].tolist(), after[places].tolist()))
+        return np.fromiter(map(number.__getitem__, found), np.uint64, len(places))
     for low, high in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
         while low < high:  # words of about CHUNK bytes of one document at a time
             end = min(high, max(low + 1, int(np.searchsorted(after, first[low] + CHUNK, side="right"))))
-            codes[low:end] = np.fromiter(map(number.__getitem__, whole[first[low] : after[end - 1]].split()), np.uint64, end - low)
+            out[low:end] = np.fromiter(map(number.__getitem__, whole[first[low] : after[end - 1]].split()), np.uint64, end - low)
             low = end
-    return codes, stops, (data, first, after)
+    return out
+
+
+def sketch(texts: pa.Array):
+    """As `read`, but with hashes that only find candidates: sums over bytes, each mixed with its place in the word."""
+    data, ends, first, after = boundaries(texts)
+    codes, at = np.zeros(len(first), np.uint64), 0
+    while at < len(first):  # words of one stretch of bytes at a time
+        end = max(at + 1, int(np.searchsorted(after, first[at] + CHUNK, side="right")))
+        sizes = after[at:end] - first[at:end]
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+        terms = mixed((data[np.repeat(first[at:end], sizes) + place].astype(np.uint64) + np.uint64(1)) * MULTIPLIER + place.astype(np.uint64) * OTHER)
+        codes[at:end] = mixed(np.add.reduceat(terms, begin) + sizes.astype(np.uint64) * MULTIPLIER)
+        at = end
+    return codes, np.searchsorted(first, ends), (data, first, after)
 
 
 def lead(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -208,7 +236,7 @@ def counts(own: Group, removed: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": own.table["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
 
 
-METHOD = Method(WINDOW, 8, 8, False, read, lead, earlier_documents, counts, "doc_id long, n_words long, n_removed long, kept_sha256 string", bucket_chars=6_000_000)
+METHOD = Method(WINDOW, 8, 8, False, sketch, lead, earlier_documents, counts, "doc_id long, n_words long, n_removed long, kept_sha256 string", bucket_chars=6_000_000, names=numbers)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
