@@ -17,7 +17,7 @@ from weftline.operators.joins import as_of, soon_after
 from weftline.operators.quantiles import quantile
 from weftline.operators.similarity import cosine_top_k
 from weftline.operators.windows import over_ranges
-from weftline.sources.tables import table, through, through_text, views
+from weftline.sources.tables import read_lines, scratch, table, through, through_text, views, write_buckets, write_parts
 from weftline.streaming import events
 
 SQL: dict[str, tuple[str, str]] = {}
@@ -404,6 +404,35 @@ def table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
     return udfs.Sessions(rows.asTable(), F.lit("user_id"), F.lit("ts"), F.lit(30))
 
 
+@frame("p02_partitions_overwritten", "SELECT o_orderkey, o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS o_totalprice, o_orderstatus FROM orders")
+def partitions_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written by status, then one status written anew: the others stay."""
+    orders, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), scratch(spark, "orders-by-status")
+    write_parts(orders, path, "o_orderstatus")
+    write_parts(orders.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1), path, "o_orderstatus")
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+@frame("p02_bucketed_join", "SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables in buckets of the join key: the join and the count behind it move no row."""
+    mark = scratch(spark, "b").rsplit("-", 1)[1]
+    orders = write_buckets(table(spark, sf_dir, "orders").select("o_orderkey"), f"orders_{mark}", "o_orderkey", 8)
+    lines = write_buckets(table(spark, sf_dir, "lineitem").select("l_orderkey"), f"lines_{mark}", "l_orderkey", 8)
+    return orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@frame("p02_corrupt_rows", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 7 = 0 THEN event_id || ',?' END AS raw FROM events")
+def corrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through csv with every seventh value broken: broken lines come back as they are."""
+    value = F.when(F.col("event_id") % 7 == 0, F.lit("?")).otherwise(F.col("value").cast("string"))
+    path = scratch(spark, "broken")
+    table(spark, sf_dir, "events").select(F.concat_ws(",", "event_id", value).alias("value")).write.text(path)
+    good, bad = read_lines(spark, path, "csv", "event_id long, value double")
+    broken = bad.select(F.split("_corrupt", ",")[0].cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"), F.col("_corrupt").alias("raw"))
+    return good.withColumn("raw", F.lit(None).cast("string")).unionByName(broken)
+
+
 def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)

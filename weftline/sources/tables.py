@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -47,3 +48,29 @@ def through_text(df: DataFrame, column: str) -> DataFrame:
     path = scratch(df.sparkSession, "text")
     df.select(df[column].alias("value")).write.text(path)
     return df.sparkSession.read.text(path).withColumnRenamed("value", column)
+
+
+def write_parts(df: DataFrame, path: str, by: str) -> None:
+    """Write `df` partitioned by a column; of what is there only the partitions that `df` has rows of are replaced.
+
+    Rows are dealt by that column and a hash of the whole row, so a partition with very many rows is as many files, not one task.
+    """
+    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(8))
+    df.repartition(F.col(f"`{by}`"), spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def write_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Write `df` as a table in `buckets` by the hash of a column, sorted within; joins of two such tables on it need no exchange."""
+    df.repartition(buckets, F.col(f"`{by}`")).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def read_lines(spark: SparkSession, path: str, kind: str, schema: str, bad: str = "_corrupt", **options) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows of csv or json files: rows that do not fit the schema come whole, as text, in the second table's only column.
+
+    Nothing is dropped: every line of the input is in one of the two.
+    """
+    whole = f"{schema}, `{bad}` string"
+    rows = spark.read.format(kind).schema(whole).options(mode="PERMISSIVE", columnNameOfCorruptRecord=bad, **options).load(path)
+    rows = kept(rows, "parsed")  # a query of the corrupt column alone would not parse the others
+    return rows.where(F.col(bad).isNull()).drop(bad), rows.where(F.col(bad).isNotNull()).select(bad)
