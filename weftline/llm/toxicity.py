@@ -106,6 +106,7 @@ class Network:
         vectors = self.word_vectors(table, unique)
         best, at = [], []
         size = len(rows)
+        ends = np.append(starts[1:], size)
         for k in SPANS:
             response = np.zeros((size, FILTERS), np.float32)
             for o in range(k):
@@ -113,10 +114,11 @@ class Network:
                 response[: size - o] += by_word[place[o:]]
             response += self.bias[k]
             np.maximum(response, 0, out=response)
+            for o in range(1, k):  # filters that would reach into the next text
+                response[ends - o] = 0
             top = np.maximum.reduceat(response, starts, axis=0)
             best.append(top)
             if where:
-                ends = np.append(starts[1:], size)
                 at.append(np.stack([starts + [int(c.argmax()) for c in np.split(f, ends[:-1])] for f in response.T], axis=1))
         return np.hstack(best), at, (vectors, place, unique)
 
