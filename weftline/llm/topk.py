@@ -8,7 +8,7 @@ k-th score, which is carried from block to block and starts from the k-th among
 Queries go to all tasks in blocks of a bounded number of bytes, one job a block; candidates are never replicated.
 
 Rows without an id and vectors that are null or hold null or non-finite components take no part; shorter
-vectors count as filled up with zeros. Every other row is a candidate, also where rows repeat an id, and every such row
+vectors count as filled up with zeros. Components and scores beyond 64 bits end at the largest or smallest such number. Every other row is a candidate, also where rows repeat an id, and every such row
 for which the query condition holds is a query, which meets all rows but itself. Ties go to the smaller id. An empty table has
 no result; other columns, whatever their names, are ignored.
 """
@@ -48,12 +48,17 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def whole(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; those beyond end at the largest or smallest that counts."""
+    return (np.clip(scores, LOWEST + 1, LAST) if scores.dtype == object else scores).astype(np.int64)
+
+
 class Search:
     """The k best candidates so far of each query: scores, ids and rows; `visited` of `blocks` bounds were scored."""
 
     def __init__(self, rows: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
         self.rows, self.k = rows, k
-        self.largest = max(1, int(np.abs(queries).max(initial=0)))
+        self.largest = max(1, -int(queries.min(initial=0)), int(queries.max(initial=0)))
         self.exact, self.quick = queries, queries.astype(np.float64)
         self.best, self.who = np.full((len(rows), k), LOWEST), np.full((len(rows), k), LAST)
         self.floor = floor  # no score below this one can be among the k best
@@ -63,11 +68,13 @@ class Search:
         """Meet some more candidates."""
         if not len(rows) or not len(self.rows):
             return
-        kind = np.float64 if self.largest * max(1, int(np.abs(vectors).max(initial=0))) * vectors.shape[1] < EXACT else np.int64
-        queries, vectors = self.quick if kind is np.float64 else self.exact, vectors.astype(kind)
+        most = self.largest * max(1, -int(vectors.min(initial=0)), int(vectors.max(initial=0))) * vectors.shape[1]
+        kind = np.float64 if most < EXACT else np.int64 if most < LAST else object  # exact in each of them
+        queries, vectors = self.quick if kind is np.float64 else self.exact.astype(kind), vectors.astype(kind)
         starts = np.arange(0, len(ids), block)
         most, least = np.maximum.reduceat(vectors, starts), np.minimum.reduceat(vectors, starts)
-        bound = (np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T).astype(np.int64)
+        bound = (np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T)
+        bound = whole(bound)
         order = np.argsort(-bound, axis=1, kind="stable")
         self.blocks += bound.size
         for turn in range(len(starts)):
@@ -78,7 +85,7 @@ class Search:
             self.visited += len(active)
             for number, places in parted(visit[active]):
                 part, at = active[places], starts[number]
-                score = (queries[part] @ vectors[at : at + block].T).astype(np.int64)
+                score = whole(queries[part] @ vectors[at : at + block].T)
                 score[rows[at : at + block][None, :] == self.rows[part][:, None]] = LOWEST
                 limit = np.maximum(self.best[part, -1], self.floor[part])
                 useful = np.flatnonzero((score >= limit[:, None]).any(axis=1))
@@ -142,7 +149,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_bytes: int = 16_000_0
             search = Search(own, x, floor, k)
             for batch in batches:
                 search.add(batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("v"), width))
-            good = search.best > LOWEST
+            # What is below a query's floor is below k others of the sample.
+            good = (search.best > LOWEST) & (search.best >= floor[:, None])
             columns = [np.repeat(own, k)[good.ravel()], np.repeat(ids, k)[good.ravel()], search.who[good], search.best[good]]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query_row", "query_id", "vec_id", "score"])
 
