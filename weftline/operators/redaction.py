@@ -57,6 +57,18 @@ def licence_shapes(docs: DataFrame, share: float = SHARE, least: int = LEAST, te
     return frequent_shapes(docs, share, least, text).where(F.col("shape").rlike(LICENCE))
 
 
+def without_frequent_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST, text: str = "text") -> DataFrame:
+    """`docs` without the lines whose shape is frequent in the corpus; every row and other column stays, null texts too.
+
+    Only digests of frequent shapes, of which there are few by definition, go to the tasks; texts stay where they are.
+    """
+    known = [r[0] for r in frequent_shapes(docs, share, least, text).select(F.sha2("shape", 256)).collect()]
+    if not known:
+        return docs
+    rest = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda x: ~F.sha2(shape(x), 256).isin(known))
+    return docs.withColumn(text, F.array_join(rest, "\n"))
+
+
 def redacted(docs: DataFrame, share: float = SHARE, least: int = LEAST, text: str = "text") -> DataFrame:
     """`docs` with licence lines as [licence] and personal data as its kind in brackets; every row and other column stays, null texts too.
 

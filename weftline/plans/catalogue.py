@@ -55,7 +55,7 @@ both("p14_interval_join", "SELECT a.event_id AS view_id, b.event_id AS purchase_
 both("p16_lateral", "SELECT r_name, top.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name DESC LIMIT 2) top")
 both("p17_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 both("p17_scalar_subquery", "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer d WHERE d.c_nationkey = c.c_nationkey)")
-both("p18_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t")
+both("p18_recursive", "WITH RECURSIVE link AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), chain(event_id, user_id, place) AS (SELECT event_id, user_id, 1 FROM link WHERE before IS NULL UNION ALL SELECT l.event_id, l.user_id, c.place + 1 FROM chain c JOIN link l ON l.before = c.event_id WHERE c.place < 10) SELECT user_id, event_id, place FROM chain")
 HINTS = {"broadcast": "BroadcastHashJoin", "merge": "SortMergeJoin", "shuffle_hash": "ShuffledHashJoin", "shuffle_replicate_nl": "CartesianProduct"}
 for hint in HINTS:
     both(f"p19_{hint}_hint", f"SELECT /*+ {hint.upper()}(customer) */ n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -433,6 +433,11 @@ def corrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.withColumn("raw", F.lit(None).cast("string")).unionByName(broken)
 
 
+@frame("p94_without_frequent_lines", f"WITH known AS ({FREQUENT}) SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE regexp_replace(lower(trim(line)), '[0-9]+', '0', 'g') NOT IN (SELECT shape FROM known)), '') AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents) GROUP BY doc_id")
+def without_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.without_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, text)
