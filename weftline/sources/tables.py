@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,17 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that all executors share, from spark.checkpoint.dir.
+
+    Only where that is unset and everything runs in one process (tests), a local folder is set for this application.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+        folder = context.getCheckpointDir()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -61,7 +71,7 @@ def write_parts(df: DataFrame, path: str, by: str) -> None:
 
 def write_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     """Write `df` as a table in `buckets` by the hash of a column, sorted within; joins of two such tables on it need no exchange."""
-    df.repartition(buckets, F.col(f"`{by}`")).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    df.repartition(buckets, F.col(f"`{by}`")).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by).option("path", scratch(df.sparkSession, name)).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
