@@ -85,3 +85,34 @@ def test_matches_at_both_ends_and_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(pii, "TOGETHER", 2)
     rows = [(1, "1.2.3.4"), (2, "1.2.3.4 a@b.c 5.6.7.8 d@e.f 9.9.9.9 é x@y.z 300.1.1.1 7.7.7.7"), (3, "no digit"), (4, "@"), (5, "7")]
     check(rows, {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()})
+
+
+def test_planted_identifiers_are_found_and_nothing_else(spark):
+    """Identifiers of unknown form behind contexts that seeds share, numbers and names behind others: precision and recall."""
+    import random
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    code = lambda: f"{word()}{draw.randint(10, 99)}"
+    secret = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(15)) + "7a"
+    rows, planted = [], set()
+    for i in range(240):
+        before, after = some(draw.randint(1, 20)) + " ", " " + some(draw.randint(1, 20))
+        kind = i % 4
+        if kind == 0:
+            text = before + draw.choice(["password=", "token: "]) + secret() + after
+        elif kind == 1:
+            mark, new = draw.choice(["password=", "token: "]), code()
+            start = len(before) + len(mark)
+            planted.add((i, f"{start}:{start + len(new)}"))
+            text = before + mark + new + after
+        elif kind == 2:
+            text = before + "chapter " + code() + " and version " + str(draw.randint(1, 99)) + after
+        else:
+            text = before + f"mail {word()}@{word()}.org" + after
+        rows.append((i, text))
+    report = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, span.split(":", 1)[1]) for r in report for span in r.spans.split(",") if r.doc_id % 4 in (1, 2) and span}
+    hit = len(found & planted)
+    assert hit >= 0.9 * len(planted) and hit >= 0.95 * len(found), (hit, len(found), len(planted))
