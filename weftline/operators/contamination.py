@@ -15,6 +15,8 @@ from weftline.sources.tables import kept
 RUN = 8
 #: Words of 64 bits that a filter may have (16 MB); beyond that runs are joined by their hashes without a filter.
 MOST_WORDS = 1 << 21
+#: Ids of documents with a hit that are broadcast (8 bytes each, before hashing).
+MOST_HITS = 1_000_000
 #: Bits of the filter for each run, at least.
 BITS = 16
 
@@ -94,8 +96,10 @@ def shared_runs(docs: DataFrame, items: DataFrame, run: int = RUN, doc_id: str =
     if size <= most_words:
         word = F.get(bloom(known, size).scalar(), F.col("h").bitwiseAND(size - 1).cast("int"))
         maybe = word.bitwiseAND(mask(F.col("h"))) == mask(F.col("h"))
-    hit = hits.where(maybe).join(known, "h", "left_semi").select("doc_id").distinct()
-    texts = docs.join(hit, "doc_id", "left_semi").select("doc_id", F.explode(runs_of("w", run)).alias("r")).select("doc_id", "r.h", "r.run")
+    hit = kept(hits.where(maybe).join(known, "h", "left_semi").select("doc_id").distinct(), "hit-documents")
+    # So few documents are found in place; only where they are very many are texts shuffled to them.
+    few = F.broadcast(hit) if hit.count() <= MOST_HITS else hit
+    texts = docs.join(few, "doc_id", "left_semi").select("doc_id", F.explode(runs_of("w", run)).alias("r")).select("doc_id", "r.h", "r.run")
     found = texts.where(maybe).select("doc_id", "run").distinct()
     pairs = found.join(runs, "run").groupBy("doc_id", "item_id", "at").agg(F.first("run").alias("run"), F.max("item_words").alias("item_words"))
     ahead = F.lead("at").over(Window.partitionBy("doc_id", "item_id").orderBy("at")) - F.col("at")
