@@ -115,3 +115,13 @@ def test_long_words_that_sums_of_powers_take_for_one(spark):
     assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 0, 3: 50}
     codes, _, _ = fmindex.read(pa.array([f"{x} {y}"]))
     assert codes[0] != codes[1]
+
+
+def test_words_longer_than_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(fmindex, "CHUNK", 16)
+    same = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, f"{'x' * 40} {same} {'y' * 17}"), (2, f"{'x' * 40} {same}"), (3, f"{'x' * 39}z {same} é"), (4, "w" * 100)]
+    codes, _, _ = fmindex.sketch(pa.array([t for _, t in rows]))
+    assert codes[0] == codes[62] and codes[0] != codes[123]
+    found = fmindex.repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == words_report(rows)

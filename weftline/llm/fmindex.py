@@ -82,6 +82,10 @@ def sketch(texts: pa.Array):
     while at < len(first):  # words of one stretch of bytes at a time
         end = max(at + 1, int(np.searchsorted(after, first[at] + CHUNK, side="right")))
         sizes = after[at:end] - first[at:end]
+        if sizes[0] > CHUNK:  # a word that is longer stands alone
+            codes[at] = Numbers()[data[first[at] : after[at]].tobytes()]
+            at = end
+            continue
         begin = np.cumsum(sizes) - sizes
         place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
         terms = mixed((data[np.repeat(first[at:end], sizes) + place].astype(np.uint64) + np.uint64(1)) * MULTIPLIER + place.astype(np.uint64) * OTHER)
