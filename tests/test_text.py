@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.pages import ENTITIES, INLINE, UNSEEN, blocks, decoded, page_texts
+from weftline.operators import redaction
 from weftline.operators.redaction import frequent_shapes, licence_shapes, redacted
 from weftline.operators.similarity import cosine_top_k
 from weftline.sources.tables import table
@@ -109,8 +110,10 @@ def test_references_are_read_once(spark):
     assert df.select(decoded(F.col("t")).alias("x")).first().x == "&lt; &#60;"
 
 
-def test_frequent_lines_are_all_found_and_exact(spark):
+@pytest.mark.parametrize("counters", [redaction.COUNTERS, 7])
+def test_frequent_lines_are_all_found_and_exact(spark, monkeypatch, counters):
     """Many lines of any frequency about the threshold, a third of the documents one text."""
+    monkeypatch.setattr(redaction, "COUNTERS", counters)
     draw = np.random.default_rng(10)
     lines = [f"line {chr(97 + i % 26)}{chr(97 + i // 26)} of the licence" for i in range(300)]
     docs = []

@@ -1,8 +1,8 @@
 """Redaction of texts: licence lines that the corpus itself shows, and plain patterns of personal data.
 
 Licence texts are lines that very many documents share, up to years, versions and the like. So lines are taken by their shape
-(lower case, each number as 0). A mergeable frequent-items sketch over all documents names the shapes that can be frequent,
-a second pass counts exactly these, and the frequent ones that speak of licences or rights are the patterns. Texts are never shuffled.
+(lower case, each number as 0). A count sketch over all documents (counters by hash, added up within tasks and then by counter) says which shapes can
+be frequent, a second pass counts exactly these, and the frequent ones that speak of licences or rights are the patterns. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: A frequent shape stands in this share of the documents at least, and in LEAST of them.
 SHARE, LEAST = 0.002, 5
-#: Items that Spark's sketch can track.
-MOST_TRACKED = 1_000_000
+#: Counters of the sketch: what a task sends at most, and what is broadcast at most (8 bytes each).
+COUNTERS = 1 << 18
 LICENCE = "licen[cs]|copyright|©|spdx|all rights reserved|lizenz|licencia|droits d.auteur|derechos"
 #: Personal data by plain patterns, in this order.
 KINDS = {
@@ -38,18 +38,13 @@ def shapes(text: Column) -> Column:
 def frequent_shapes(docs: DataFrame, share: float = SHARE, least: int = LEAST, text: str = "text") -> DataFrame:
     """(shape, docs): the shapes of lines that at least max(`least`, `share` of all) documents hold, with the exact number of these.
 
-    The sketch follows so many shapes that none as frequent can be missing from it; where that is more than it can track, all
-    shapes are counted. A document counts once however often it repeats a line; null texts are documents without lines.
+    A shape counts into the counter of its hash, so one in a counter below the threshold is not frequent; the others are
+    counted one by one. A document counts once however often it repeats a line; null texts are documents without lines.
     """
-    own = docs.select(shapes(F.col(text)).alias("own"))
-    n, lines = own.agg(F.count("*"), F.coalesce(F.sum(F.size("own")), F.lit(0))).first()
-    wanted = max(least, ceil(share * n), 1)
-    rows = own.select(F.explode("own").alias("shape"))
-    # Its error is below 3.5 / (4/3 tracked) of all lines, and an item is named where its count is over twice that.
-    tracked = max(64, ceil(8 * lines / wanted))
-    if lines and tracked <= MOST_TRACKED:
-        named = rows.agg(F.expr(f"approx_top_k(shape, {min(tracked, max(8, ceil(2 * lines / wanted)))}, {tracked})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("shape"))
-        rows = rows.join(named, "shape", "left_semi")
+    wanted = max(least, ceil(share * docs.count()), 1)
+    rows = docs.select(F.explode(shapes(F.col(text))).alias("shape")).withColumn("counter", F.pmod(F.xxhash64("shape"), F.lit(COUNTERS)))
+    full = rows.groupBy("counter").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select("counter")
+    rows = rows.join(F.broadcast(full), "counter", "left_semi")
     return rows.groupBy("shape").agg(F.count("*").alias("docs")).where(F.col("docs") >= wanted)
 
 
