@@ -1,7 +1,9 @@
 """What shows only on larger tables: estimates, growth of memory and shuffles, evenly dealt work."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators.joins import theta
 from weftline.plans import catalogue
 
 
@@ -9,3 +11,20 @@ def test_estimate_of_many_distinct_values_is_close(spark, tmp_path):
     rows = spark.range(1_200_000).select(F.lit("A").alias("l_returnflag"), F.col("id").alias("l_partkey"))
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert list(map(tuple, catalogue.queries()["p31_approximate_distinct"](spark, str(tmp_path)).collect())) == [("A", 1_200_000, True)]
+
+
+@pytest.mark.parametrize("most", [1000, 10])
+def test_theta_join_is_dealt_evenly(spark, most):
+    a = spark.range(400).select(F.col("id").alias("a"), F.when(F.col("id") > 3, F.col("id") % 2).alias("k"), (F.col("id") % 50).alias("x")).coalesce(1)
+    b = spark.range(60).select(F.col("id").alias("b"), (F.col("id") % 2).alias("l"), F.when(F.col("id") != 7, F.col("id")).alias("y")).coalesce(1)
+    pairs = theta(a, b, F.col("x") < F.col("y"), ("k", "l"), most)
+    assert pairs.columns == ["a", "k", "x", "b", "l", "y"]
+    want = sorted((i, j) for i in range(4, 400) for j in range(60) if i % 2 == j % 2 and j != 7 and i % 50 < j)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == want
+    sizes = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < len(want) / 2  # two keys in one file, yet no task has half of the pairs
+
+
+def test_customers_of_one_file_are_dealt_to_all_tasks(spark):
+    plan = catalogue.queries()["p13_theta_equi_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and "BroadcastHashJoin" in plan

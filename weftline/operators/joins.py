@@ -66,3 +66,26 @@ def soon_after(first: DataFrame, then: DataFrame, by: str, time: str, span: floa
     b = b.withColumn("b2", number("t2"))
     pairs = a.join(b, (F.col("k1") == F.col("k2")) & (F.col("b1") == F.col("b2")) & (F.col("t2") > F.col("t1")) & (F.col("t2") <= F.col("t1") + length))
     return pairs.select(F.col("a").alias(names[0]), F.col("b").alias(names[1]))
+
+
+#: Rows of the smaller side of a theta join that are broadcast, and the cells that each key is cut into beyond that.
+MOST_BROADCAST, CELLS = 1_000_000, 16
+
+
+def theta(many: DataFrame, few: DataFrame, condition: Column, key: tuple[str, str], most: int = MOST_BROADCAST) -> DataFrame:
+    """All pairs of a row of `many` and one of `few` with equal keys for which `condition` holds, with the columns of both.
+
+    The work is in the pairs, so `many` is dealt evenly, however it is stored and however few keys there are, to as many tasks as
+    spark.sql.shuffle.partitions, which adaptive execution does not join by their bytes. `few` is broadcast up to `most` rows, which is
+    checked; beyond that each key is cut into CELLS cells: a row of `many` is in one of them, a row of `few` in all. Pairs stream out
+    of the join and no task holds them. Columns of the two sides need different names.
+    """
+    clashing(many, [*few.columns, "_cell"])
+    clashing(few, ["_cell"])
+    parts, same = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), named(key[0]) == named(key[1])
+    if few.limit(most + 1).count() <= most:
+        return many.repartition(parts).join(F.broadcast(few), same & condition)
+    dealt = many.withColumn("_cell", F.pmod(F.xxhash64(*(named(c) for c in many.columns)), F.lit(CELLS)).cast("int"))
+    cells = few.withColumn("_cell_", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    pairs = dealt.repartition(parts, named(key[0]), "_cell").join(cells.repartition(parts, named(key[1]), "_cell_").hint("merge"), same & (F.col("_cell") == F.col("_cell_")) & condition)
+    return pairs.drop("_cell", "_cell_")

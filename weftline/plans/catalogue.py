@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions import pages, udfs
 from weftline.operators import evaluation, redaction
 from weftline.operators.contamination import shared_runs
-from weftline.operators.joins import as_of, soon_after
+from weftline.operators.joins import as_of, soon_after, theta
 from weftline.operators.quantiles import quantile
 from weftline.operators.similarity import cosine_top_k
 from weftline.operators.windows import over_ranges
@@ -50,7 +50,6 @@ for kind in ("inner", "left", "right", "full"):
 for kind in ("semi", "anti"):
     both(f"p11_{kind}_join", f"SELECT o_orderkey FROM {SIDES.format('LEFT ' + kind.upper())}", f"SELECT o_orderkey FROM {SIDES.format(kind.upper())}")
 both("p12_small_product", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-both("p13_theta_equi_join", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
 both("p14_interval_join", "SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
 both("p16_lateral", "SELECT r_name, top.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name DESC LIMIT 2) top")
 both("p17_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
@@ -136,6 +135,13 @@ def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(probes, views_, "user_id", "ts", "view_id").select("event_id", "view_id")
 
 
+@frame("p13_theta_equi_join", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
+def richer_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return theta(customers, suppliers, F.col("c_acctbal") < F.col("s_acctbal"), ("c_nationkey", "s_nationkey")).select("c_custkey", "s_suppkey")
+
+
 @frame("p14_interval_in_buckets", SQL["p14_interval_join"][1])
 def soon_bought(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
