@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators.contamination import run_counts
 from weftline.operators.joins import theta
 from weftline.plans import catalogue
 
@@ -28,3 +29,17 @@ def test_theta_join_is_dealt_evenly(spark, most):
 def test_customers_of_one_file_are_dealt_to_all_tasks(spark):
     plan = catalogue.queries()["p13_theta_equi_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("most_words", [1 << 21, 0])
+def test_shared_runs_count_once_null_ids_too(spark, most_words):
+    docs = spark.createDataFrame([(1, "A b, c d"), (1, "b c d e"), (None, "a b c"), (None, "b c d"), (2, None), (3, "a b x c"), (4, " b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d"), (7, "b c d"), (None, "b c d e"), (8, "; b c;"), (9, None)], "item_id long, text string")
+    found = run_counts(docs, items, lambda text: F.split(F.lower(text), "[^a-z0-9]+"), 3, most_words)
+    assert set(map(tuple, found.collect())) == {(1, 7, 2), (1, None, 2), (None, 7, 2), (None, None, 1), (4, 8, 1)}
+
+
+def test_word_runs_are_tested_before_they_are_shuffled(spark):
+    plan = catalogue.queries()["p92_shared_word_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    texts = plan[plan.index("HashAggregate(keys=[doc_id") :]
+    assert "Subquery" in texts and "SortMergeJoin [g" not in plan

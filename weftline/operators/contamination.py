@@ -74,33 +74,57 @@ def bloom(hashes: DataFrame, size: int) -> DataFrame:
     return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x.bits).alias("filter"))
 
 
-def shared_runs(docs: DataFrame, items: DataFrame, run: int = RUN, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
-    """(doc_id, item_id, shared, covered, item_words, share, passages) of every pair that shares a run of `run` words.
-
-    `shared` counts the distinct runs, `covered` the item's words that they cover, `share` is that part of its words and
-    `passages` counts the stretches of touching runs. The filter is broadcast while it has at most `most_words` words, which is
-    checked; beyond that the hashes are joined by a shuffle. Null texts have no words; null ids are in no pair; rows that repeat an id count as
-    one document or item with all their runs, and of a repeated item the longest text counts for `item_words`. Empty tables give no pairs.
-    Columns other than the named ones are ignored. Very long texts are taken whole.
-    """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).where("doc_id IS NOT NULL")
-    items = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).where("item_id IS NOT NULL")
+def runs_of_items(items: DataFrame, run: int, most_words: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Of items (item_id, w): (item_id, item_words, at, h, run) of every run, their distinct hashes, and whether the column `h` may be one of them."""
     runs = items.select("item_id", F.size("w").alias("item_words"), F.posexplode(runs_of("w", run)).alias("at", "r"))
     runs = kept(runs.select("item_id", "item_words", "at", "r.h", "r.run"), "item-runs")
     known = runs.select("h").distinct()
     size = 64
     while size * 64 < BITS * known.count():
         size *= 2
+    if size > most_words:
+        return runs, known, F.lit(True)
+    word = F.get(bloom(known, size).scalar(), F.col("h").bitwiseAND(size - 1).cast("int"))
+    return runs, known, word.bitwiseAND(mask(F.col("h"))) == mask(F.col("h"))
+
+
+def runs_found(docs: DataFrame, known: DataFrame, maybe: Column, run: int) -> DataFrame:
+    """(doc_id, run): the distinct runs of those documents (doc_id, w) that hold a known one, as far as `maybe` lets them through."""
     hits = docs.select("doc_id", hashed(F.col("w"), run).alias("all")).select("doc_id", F.explode("all").alias("h"))
-    maybe = F.lit(True)
-    if size <= most_words:
-        word = F.get(bloom(known, size).scalar(), F.col("h").bitwiseAND(size - 1).cast("int"))
-        maybe = word.bitwiseAND(mask(F.col("h"))) == mask(F.col("h"))
     hit = kept(hits.where(maybe).join(known, "h", "left_semi").select("doc_id").distinct(), "hit-documents")
     # So few documents are found in place; only where they are very many are texts shuffled to them.
     few = F.broadcast(hit) if hit.count() <= MOST_HITS else hit
     texts = docs.join(few, "doc_id", "left_semi").select("doc_id", F.explode(runs_of("w", run)).alias("r")).select("doc_id", "r.h", "r.run")
-    found = texts.where(maybe).select("doc_id", "run").distinct()
+    return texts.where(maybe).select("doc_id", "run").distinct()
+
+
+def run_counts(docs: DataFrame, items: DataFrame, split, run: int = RUN, most_words: int = MOST_WORDS) -> DataFrame:
+    """(doc_id, item_id, shared): distinct runs of `run` words that a document and an item share; `split` makes words of the column `text`.
+
+    As in `shared_runs`, runs are tested at the scan and only what the items may hold is shuffled. Rows of one id are one document
+    or item, and so are those without an id. Null texts have no words.
+    """
+    # An id stands in a struct, as a null inside one equals another null.
+    worded = lambda df, i: df.select(F.struct(i).alias(i), split(F.coalesce("text", F.lit(""))).alias("w"))
+    runs, known, maybe = runs_of_items(worded(items, "item_id"), run, most_words)
+    found = runs_found(worded(docs, "doc_id"), known, maybe, run)
+    counts = found.join(runs.select("item_id", "run").distinct(), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    return counts.select("doc_id.doc_id", "item_id.item_id", "shared")
+
+
+def shared_runs(docs: DataFrame, items: DataFrame, run: int = RUN, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """(doc_id, item_id, shared, covered, item_words, share, passages) of every pair that shares a run of `run` words.
+
+    `shared` counts the distinct runs, `covered` the item's words that they cover, `share` is that part of its words and
+    `passages` counts the stretches of touching runs. The filter is broadcast while it has at most `most_words` words, which is
+    checked; beyond that the hashes are joined by a shuffle. Null texts have no words; null ids are in no pair; rows that repeat an id count as
+    one document or item with all their runs, and of a repeated item the longest text counts for `item_words`. Empty tables give no pairs.
+    Columns other than the named ones are ignored. Very long texts are taken whole.
+    """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).where("doc_id IS NOT NULL")
+    items = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).where("item_id IS NOT NULL")
+    runs, known, maybe = runs_of_items(items, run, most_words)
+    found = runs_found(docs, known, maybe, run)
     pairs = found.join(runs, "run").groupBy("doc_id", "item_id", "at").agg(F.first("run").alias("run"), F.max("item_words").alias("item_words"))
     ahead = F.lead("at").over(Window.partitionBy("doc_id", "item_id").orderBy("at")) - F.col("at")
     gap = pairs.withColumn("gap", F.coalesce(ahead, F.lit(run + 1)))

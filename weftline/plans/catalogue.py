@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import pages, udfs
 from weftline.operators import evaluation, redaction
-from weftline.operators.contamination import shared_runs
+from weftline.operators.contamination import run_counts, shared_runs
 from weftline.operators.joins import as_of, soon_after, theta
 from weftline.operators.quantiles import quantile
 from weftline.operators.similarity import cosine_top_k
@@ -108,10 +108,8 @@ both("p96_conversations", "SELECT conv_id, array_join(transform(array_sort(colle
 
 # Text and labels, as plain statements
 both("p90_least_id_of_text", "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY md5(text)")
-GRAMS = "SELECT DISTINCT {0}, array_join(slice(w, i, 8), ' ') AS g FROM (SELECT {0}, w, explode(sequence(1, size(w) - 7)) AS i FROM (SELECT {0}, split(lower(text), '[^a-z0-9]+') AS w FROM {1}) WHERE size(w) >= 8)"
 DUCK_GRAMS = "SELECT DISTINCT {0}, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {0}, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM {1}) WHERE len(w) >= 8)"
-SHARED = "SELECT doc_id, item_id, count(*) AS shared FROM ({}) d JOIN ({}) b ON d.g = b.g GROUP BY doc_id, item_id"
-both("p92_shared_word_runs", *(SHARED.format(g.format("doc_id", "documents"), g.format("item_id", "benchmark")) for g in (GRAMS, DUCK_GRAMS)))
+SHARED = "SELECT doc_id, item_id, count(*) AS shared FROM ({}) d JOIN ({}) b ON d.g = b.g GROUP BY doc_id, item_id".format(DUCK_GRAMS.format("doc_id", "documents"), DUCK_GRAMS.format("item_id", "benchmark"))
 both("p94_lines_once", "SELECT doc_id, array_join(array_distinct(split(text, '\\n')), '\\n') AS text FROM documents", "SELECT doc_id, array_to_string(list_transform(list_filter(lines, lambda x, i: list_position(lines, x) = i), lambda x: x), chr(10)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)")
 both("p98_rates_by_label", "SELECT quality, toxic, count(*) AS n, count(*) FILTER (WHERE n_chars < 200) AS short, round(avg(CAST(n_chars AS DOUBLE)), 6) AS mean_chars, count(*) FILTER (WHERE text LIKE '%@%') AS with_at FROM documents JOIN labels USING (doc_id) GROUP BY quality, toxic")
 
@@ -289,6 +287,11 @@ FROM hits GROUP BY doc_id, item_id
 """
 
 
+@frame("p92_shared_word_runs", SHARED)
+def shared_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), lambda text: F.split(F.lower(text), "[^a-z0-9]+"))
+
+
 @frame("p92_contamination", CONTAMINATION)
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
