@@ -1,11 +1,16 @@
 """What shows only on larger tables: estimates, growth of memory and shuffles, evenly dealt work."""
 
+import itertools
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators.contamination import run_counts
 from weftline.operators.joins import theta
 from weftline.plans import catalogue
+from weftline.streaming import events
 
 
 def test_estimate_of_many_distinct_values_is_close(spark, tmp_path):
@@ -43,3 +48,67 @@ def test_word_runs_are_tested_before_they_are_shuffled(spark):
     plan = catalogue.queries()["p92_shared_word_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     texts = plan[plan.index("HashAggregate(keys=[doc_id") :]
     assert "Subquery" in texts and "SortMergeJoin [g" not in plan
+
+
+class Held:
+    """State of one user in memory; every call counts, as each is a round trip to the JVM."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def call(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self.call(self.value)
+
+    def update(self, value):
+        self.value = self.call(value)
+
+    def registerTimer(self, at):
+        self.timers.add(self.call(at))
+
+    def deleteTimer(self, at):
+        self.timers.remove(self.call(at))
+
+    def iterator(self):
+        return self.call(iter(list(self.map.items())))
+
+    def updateValue(self, key, value):
+        self.map[key] = self.call(value)
+
+
+def test_a_batch_of_visits_is_one_frame_and_few_calls():
+    draw = np.random.default_rng(3)
+    for _ in range(100):
+        held, user, out = Held(), events.Visits(), []
+        user.init(held)
+        hours = draw.integers(0, 150, 12).tolist()
+        if draw.random() < 0.5:
+            hours.sort()
+        for part in (hours[:4], hours[4:5], hours[5:]):  # batches in any order of time, while the visit is open
+            calls = held.calls
+            frames = list(user.handleInputRows((1,), iter([pd.DataFrame({"ts": pd.to_datetime(part, unit="h")})]), None))
+            assert len(frames) <= 1 and held.calls - calls <= 4 and held.timers == {(held.value[1] + events.QUIET) // 1000}
+            out += [tuple(r) for f in frames for r in f[["first", "last", "n"]].itertuples(index=False)]
+        assert sum(n for *_, n in out) + held.value[2] == 12
+        whole = sorted(hours)
+        if hours[:5] == whole[:5]:
+            cuts = [0, *(i for i in range(1, 12) if whole[i] - whole[i - 1] >= 12), 12]
+            assert [n for *_, n in out] == [b - a for a, b in itertools.pairwise(cuts)][:-1]
+
+
+def test_kinds_are_read_once_and_written_once():
+    held, user = Held(), events.Kinds(1000)
+    user.init(held)
+    for i in (1, 2):
+        calls = held.calls
+        (frame,) = user.handleInputRows((1,), iter([pd.DataFrame({"event_type": ["a", "b", "a"]}), pd.DataFrame({"event_type": ["c", "a"]})]), None)
+        assert frame.to_dict("records") == [{"user_id": 1, "kinds": 3, "n": 5 * i}] and held.calls - calls <= 4

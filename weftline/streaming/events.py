@@ -6,8 +6,10 @@ again after a restart replaces what it wrote before.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,41 +168,45 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(totals, "update", "totals", spark=spark).groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
 
 
-QUIET = pd.Timedelta(hours=12)
+#: Microseconds.
+QUIET = 12 * 3_600_000_000
 
 
 class Visits(StatefulProcessor):
     """Visits of a user: events with less than QUIET between them. A timer on event time closes a visit once no event can follow.
 
-    The state is the list of the visit's event times; a later visit in the same batch closes the one before at once.
+    The state is the open visit as (first, last, n), however many events it has; a later visit in the same batch closes the one before at once.
+    Each call to the state is a round trip to the JVM, so a user costs three or four of them a batch and one frame of rows.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "ts timestamp")
+        self.open = handle.getValueState("open", "first long, last long, n long")  # microseconds
 
-    def closed(self, key, times: list) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "first": [times[0]], "last": [times[-1]], "n": [len(times)]})
-
-    def keep(self, times: list) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.times.put([(t,) for t in times])
-        self.handle.registerTimer(int((times[-1] + QUIET).timestamp() * 1000))
+    def closed(self, key, first, last, n) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": key[0], "first": np.array(first, "datetime64[us]"), "last": np.array(last, "datetime64[us]"), "n": n})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = [pd.Timestamp(t[0]) for t in self.times.get()] if self.times.exists() else []
-        times = sorted(known + [pd.Timestamp(t) for chunk in rows for t in chunk["ts"]])
-        begins = [0, *(i for i in range(1, len(times)) if times[i] - times[i - 1] >= QUIET), len(times)]
-        for a, b in zip(begins[:-2], begins[1:-1], strict=True):
-            yield self.closed(key, times[a:b])
-        self.keep(times[begins[-2] :])
+        times = np.sort(np.concatenate([chunk["ts"].to_numpy("datetime64[us]").astype(np.int64) for chunk in rows]))
+        cuts = np.flatnonzero(np.diff(times) >= QUIET) + 1
+        begins, ends = np.append(0, cuts), np.append(cuts, len(times))
+        first, last, n = times[begins], times[ends - 1], ends - begins
+        if known := self.open.get():
+            # Visits that touch the open one stand side by side and are one with it; a and b are their bounds.
+            a, b = np.searchsorted(last, known[0] - QUIET, "right"), np.searchsorted(first, known[1] + QUIET, "left")
+            one = (min([known[0], *first[a:b].tolist()]), max([known[1], *last[a:b].tolist()]), known[2] + int(n[a:b].sum()))
+            first, last, n = (np.concatenate([v[:a], [x], v[b:]]) for v, x in zip((first, last, n), one, strict=True))
+            self.handle.deleteTimer((known[1] + QUIET) // 1000)
+        if len(first) > 1:
+            yield self.closed(key, first[:-1], last[:-1], n[:-1])
+        self.open.update((int(first[-1]), int(last[-1]), int(n[-1])))
+        self.handle.registerTimer((int(last[-1]) + QUIET) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        times = [pd.Timestamp(t[0]) for t in self.times.get()] if self.times.exists() else []
-        self.times.clear()
-        if times:
-            yield self.closed(key, times)
+        known = self.open.get()
+        self.open.clear()
+        if known:
+            yield self.closed(key, *([x] for x in known))
 
     def close(self) -> None:
         pass
@@ -230,14 +236,14 @@ class Kinds(StatefulProcessor):
         self.kinds = handle.getMapState("kinds", "kind string", "n long", self.expiry_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[str, int] = {}
+        # The map is read once and each kind written once: every call to the state is a round trip to the JVM.
+        fresh: Counter = Counter()
         for chunk in rows:
-            for kind, n in chunk["event_type"].value_counts().items():
-                fresh[kind] = fresh.get(kind, 0) + int(n)
-        for kind, n in fresh.items():
-            known = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
-            self.kinds.updateValue((kind,), (known + n,))
+            fresh.update(chunk["event_type"].tolist())
         held = {k[0]: v[0] for k, v in self.kinds.iterator()}
+        for kind, n in fresh.items():
+            held[kind] = held.get(kind, 0) + n
+            self.kinds.updateValue((kind,), (held[kind],))
         yield pd.DataFrame({"user_id": [key[0]], "kinds": [len(held)], "n": [sum(held.values())]})
 
     def close(self) -> None:
