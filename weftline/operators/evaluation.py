@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.order import before
+from weftline.sources.tables import kept
 
 
 def points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(score, pos, neg): labelled rows by score. Rows whose score is null or NaN, or whose label is neither 0 nor 1, take no part; -0.0 is 0.0."""
+    """(score, pos, neg): labelled rows by score. Rows whose score is null or NaN, or whose label is neither 0 nor 1, take no part; -0.0 is 0.0.
+
+    The counts are written once, as bounds, ranges and totals all read them, and scores are sifted behind that: a test on a score
+    before it would move down to the scan and compute the score a second time.
+    """
     s, y = F.col(score).cast("double"), F.col(label).cast("int")
-    rows = df.select((s + F.lit(0.0)).alias("score"), y.alias("y")).where("score IS NOT NULL AND NOT isnan(score) AND y IN (0, 1)")
-    return rows.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    rows = df.select((s + F.lit(0.0)).alias("score"), y.alias("y")).where("y IN (0, 1)")
+    counted = rows.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    return kept(counted, "points").where("score IS NOT NULL AND NOT isnan(score)")
 
 
 def totals(found: DataFrame) -> DataFrame:
@@ -29,8 +35,9 @@ def curve(df: DataFrame, score: str, label: str) -> DataFrame:
 
     A rate whose kind of row is missing is null. An empty table has no points.
     """
-    found = before(points(df, score, label), [F.col("score").desc()], {"pos_above": F.col("pos"), "neg_above": F.col("neg")})
-    sums = totals(points(df, score, label)).first()
+    counted = points(df, score, label)
+    found = before(counted, [F.col("score").desc()], {"pos_above": F.col("pos"), "neg_above": F.col("neg")})
+    sums = totals(counted).first()
     tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
     out = found.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.lit(sums["all_pos"]) - tp).alias("fn"), (F.lit(sums["all_neg"]) - fp).alias("tn"))
     return out.select("*", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("fall_out"))
