@@ -1,14 +1,17 @@
 """What shows only on larger tables: estimates, growth of memory and shuffles, evenly dealt work."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators import evaluation
 from weftline.operators.contamination import run_counts
 from weftline.operators.joins import theta
+from weftline.operators.similarity import Turned, best
 from weftline.plans import catalogue
 from weftline.streaming import events
 
@@ -112,3 +115,41 @@ def test_kinds_are_read_once_and_written_once():
         calls = held.calls
         (frame,) = user.handleInputRows((1,), iter([pd.DataFrame({"event_type": ["a", "b", "a"]}), pd.DataFrame({"event_type": ["c", "a"]})]), None)
         assert frame.to_dict("records") == [{"user_id": 1, "kinds": 3, "n": 5 * i}] and held.calls - calls <= 4
+
+
+def test_memory_of_cosines_does_not_grow_with_the_queries():
+    draw = np.random.default_rng(5)
+    x, q = (draw.standard_normal((n, 32)) for n in (1000, 6000))
+    x, q = (v / np.sqrt((v * v).sum(axis=1))[:, None] for v in (x, q))
+    axes, held = np.eye(32), [[] for _ in q]
+    best(np.arange(1000), x, axes, np.arange(6000), q, Turned(q, axes), held, 3)
+    want = np.round(x @ q.T, 9)
+    want[np.arange(1000), np.arange(1000)] = -2
+    assert all([i for _, i in held[j]] == np.lexsort((np.arange(1000), -want[:, j]))[:3].tolist() for j in range(0, 6000, 499))
+    tracemalloc.start()
+    best(np.arange(1000), x, axes, np.arange(6000), q, Turned(q, axes), [[(-1.1, 0)] * 3 for _ in q], 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000  # the bounds of all queries at once were 48 MB a table
+
+
+@pytest.mark.parametrize("of", [evaluation.curve, evaluation.areas])
+def test_scores_are_computed_once(spark, of):
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        seen.add(1)
+        return x % 7 / 7
+
+    df = spark.range(100, numPartitions=2).select(F.udf(score, "double")("id").alias("score"), (F.col("id") % 2).alias("y"))
+    assert of(df, "score", "y").collect() and seen.value == 100
+
+
+def test_plain_characters_are_counted_by_runs(spark, tmp_path):
+    texts = ["ab c", "", None, "1a2b", "äö\U0001f600x\n y", "\U0001f600", "ab" * 3000 + "."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(len(texts)) if i != 1], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = catalogue.scored(spark, str(tmp_path))
+    share = lambda t: int(sum(c == " " or c.isascii() and c.isalpha() for c in t) * 100 / len(t) + 0.5) / 100
+    assert {r.doc_id: r.score for r in found.collect()} == {i: None if t is None else share(t) for i, t in enumerate(texts) if i != 1}
+    assert "[a-zA-Z ]+" in found._jdf.queryExecution().executedPlan().toString()

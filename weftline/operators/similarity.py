@@ -20,6 +20,8 @@ from weftline.sources.tables import kept
 #: Vectors that the axes and first thresholds come from; components that are multiplied for all pairs; bytes of queries at once.
 SAMPLE, HEAD, QUERY_BYTES = 2048, 16, 16_000_000
 TOGETHER, DIGITS, SLACK = 2048, 9, 1e-9
+#: Queries whose bounds stand in memory at once, for TOGETHER candidates each (8 MB a table of them).
+AT_ONCE = 512
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -60,15 +62,17 @@ class Turned:
 def best(ids: np.ndarray, x: np.ndarray, axes: np.ndarray, queries: np.ndarray, q: np.ndarray, turned: Turned, held: list, k: int) -> int:
     """Take candidates into each query's `held` best (-score, id); the number of pairs that were multiplied out."""
     own, worked = Turned(x, axes), 0
-    floor = np.array([-h[-1][0] if len(h) == k else -2.0 for h in held])
-    open_ = own.head @ turned.head.T + own.rest[:, None] * turned.rest[None, :] + SLACK >= floor[None, :]
-    open_ &= ids[:, None] != queries[None, :]
-    for j in np.flatnonzero(open_.any(axis=0)).tolist():
-        some = np.flatnonzero(open_[:, j])
-        worked += len(some)
-        score = np.round(np.einsum("ij,j->i", x[some], q[j]), DIGITS) + 0.0
-        good = np.flatnonzero(score >= floor[j] - SLACK)
-        held[j] = sorted(held[j] + list(zip((-score[good]).tolist(), ids[some[good]].tolist(), strict=True)))[:k]
+    for at in range(0, len(queries), AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        floor = np.array([-h[-1][0] if len(h) == k else -2.0 for h in held[part]])
+        open_ = own.head @ turned.head[part].T + own.rest[:, None] * turned.rest[None, part] + SLACK >= floor[None, :]
+        open_ &= ids[:, None] != queries[None, part]
+        for j in np.flatnonzero(open_.any(axis=0)).tolist():
+            some = np.flatnonzero(open_[:, j])
+            worked += len(some)
+            score = np.round(np.einsum("ij,j->i", x[some], q[at + j]), DIGITS) + 0.0
+            good = np.flatnonzero(score >= floor[j] - SLACK)
+            held[at + j] = sorted(held[at + j] + list(zip((-score[good]).tolist(), ids[some[good]].tolist(), strict=True)))[:k]
     return worked
 
 
