@@ -93,6 +93,36 @@ def test_quicksort_orders_suffixes():
         assert [sorted(set(keys))[k] for k in number] == keys
 
 
+def test_anchors_alone_are_sorted(monkeypatch):
+    """Windows are told apart by the order of their anchors, which are a few of them; of one document's equal windows the least start stays."""
+    draw, method = np.random.default_rng(4), replace(suffixes.METHOD, window=20, gram=6)
+    parts, tokens, anchor = [], [], []
+    for _ in range(400):
+        a = int(draw.integers(0, 15))
+        n = int(draw.integers(1, a + 2))
+        text = np.concatenate([draw.random(a) < 0.1, [7, 8, 9, 7, 8, int(draw.integers(4, 6))], draw.random(20) < 0.1])
+        parts.append(text[: n + 19].astype(np.uint8))
+        tokens.append(n + 19)
+        anchor.append(a)
+    doc, place = draw.integers(0, 9, 400), draw.integers(0, 50, 400)
+    keys, starts = [], []
+    for part, a, d, p in zip(parts, anchor, doc.tolist(), place.tolist()):
+        for step in range(len(part) - 19):
+            keys.append((a - step, part[step : step + 20].tobytes()))
+            starts.append((d, p + step))
+    least = {}
+    for key, start in zip(keys, starts):
+        least[key] = min(start, least.get(key, start))
+    sorted_ones = []
+    plain = suffixes.multikey_quicksort
+    monkeypatch.setattr(suffixes, "multikey_quicksort", lambda data, start, *rest: sorted_ones.append(len(start)) or plain(data, start, *rest))
+    segments = anchors.Segments(np.concatenate(parts).reshape(-1, 1), np.array(tokens, np.int32), np.array(anchor, np.int32), doc, place)
+    found = suffixes.earlier_starts(segments, method)
+    assert found.tolist() == [least[key] < start for key, start in zip(keys, starts)]
+    assert 0 < found.sum() < len(found)
+    assert sum(sorted_ones) <= 2 * len(parts) < len(keys)
+
+
 def test_digests_of_equal_stretches_are_equal():
     draw = np.random.default_rng(2)
     codes = np.tile(draw.integers(0, 4, 700).astype(np.uint8), 3)

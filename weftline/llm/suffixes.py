@@ -1,10 +1,10 @@
 """Suffix-array dedup: remove every byte covered by a 100-byte string that also starts earlier.
 
 Suffixes are range-partitioned by the leading bytes of their anchor at sampled splitters (see `anchors`); each bucket
-orders them by a multikey quicksort over eight bytes at a time, and neighbours that agree on 100 bytes form a class, of
-which the first start stays. Splitters part anchors, and equal strings have equal anchors, so no class crosses a
-boundary between buckets and nothing is left to compare there. Strings at anchors with very many surroundings are
-dealt out one by one and compared by 128-bit digests.
+orders the bytes from its anchors on, and those before them read backwards, by a multikey quicksort over eight bytes at a time.
+Windows that agree on their bytes on both sides of the anchor form a class, of which the first start stays. Splitters part anchors,
+and equal strings have equal anchors, so no class crosses a boundary between buckets and nothing is left to compare there.
+Strings at anchors with very many surroundings are dealt out one by one and compared by 128-bit digests.
 
 Null and empty texts have no byte. "Earlier" is a smaller id, or an earlier start in the same document; null ids
 come last, and of rows that repeat an id equal starts count as one. Strings never cross documents. Very long texts are
@@ -85,31 +85,56 @@ def multikey_quicksort(data: np.ndarray, start: np.ndarray, group: np.ndarray, s
     return order, number
 
 
+def ordered(data: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first `size` bytes, and how many of these each shares with the one before it (the first: all)."""
+    padded = np.concatenate([data, np.zeros(size, np.uint8)])
+    order, _ = multikey_quicksort(padded, start, np.zeros(len(start), np.int64), size)
+    rows = np.lib.stride_tricks.sliding_window_view(padded, size)[start[order]]
+    differ = rows[1:] != rows[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
+    return order, np.append(size, shared)
+
+
 def earlier_starts(segments: Segments, method: Method) -> np.ndarray:
-    """For every window of every segment, whether an equal window has an earlier start."""
-    data = segments.data.reshape(-1)
-    windows = segments.tokens - method.window + 1
+    """For every window of every segment, whether an equal window has an earlier start.
+
+    Only anchors are sorted: by the bytes from the anchor on, and by those before it, read backwards. A window with its anchor
+    at an offset equals another one with the same offset if they agree on so many bytes before the anchor and on the rest from there on;
+    in either order, those that agree on a number of bytes stand side by side. What lies beyond a segment is read as well, and asked by no window.
+    """
+    data, w = segments.data.reshape(-1), method.window
+    windows = segments.tokens.astype(np.int64) - w + 1
     # Segments of several groups that are equal are compared once.
-    ends = np.cumsum(segments.tokens) - segments.tokens
+    begin = np.cumsum(segments.tokens, dtype=np.int64) - segments.tokens
     raw, seen = data.tobytes(), {}
-    same = np.array([seen.setdefault((raw[s : s + n], a), len(seen)) for s, n, a in zip(ends.tolist(), segments.tokens.tolist(), segments.anchor.tolist(), strict=True)], np.int64)
-    order = np.lexsort((segments.place, segments.doc, same))
+    same = np.array([seen.setdefault((raw[s : s + n], a), len(seen)) for s, n, a in zip(begin.tolist(), segments.tokens.tolist(), segments.anchor.tolist(), strict=True)], np.int64)
+    # A document and a start in it are one number, in their order.
+    starts = (np.unique(segments.doc, return_inverse=True)[1].astype(np.int64) << 42) + segments.place
+    order = np.lexsort((starts, same))
     first = order[np.flatnonzero(np.diff(same[order], prepend=-1))]
-    n = windows[first]
+    n, anchor, start = windows[first], segments.anchor[first].astype(np.int64), starts[first]
     base = np.cumsum(n) - n
-    step = np.arange(int(n.sum())) - np.repeat(base, n)
-    start = np.repeat(ends[first], n) + step
-    offset = np.repeat(segments.anchor[first], n) - step  # of the anchor in the window
-    _, number = multikey_quicksort(data, start, offset.astype(np.int64), method.window)
-    doc, place = np.repeat(segments.doc[first], n), np.repeat(segments.place[first], n)
-    order = np.lexsort((place, doc, number))
-    head = order[np.flatnonzero(np.diff(number[order], prepend=-1))]
-    least_doc, least_place = doc[head][number], place[head][number]
-    # Back to every segment: its own first place against the least of each of its windows.
-    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = np.repeat(base[same], windows) + step
-    doc, place = np.repeat(segments.doc, windows), np.repeat(segments.place, windows)
-    return (least_doc[at] < doc) | ((least_doc[at] == doc) & (least_place[at] < place))
+    place = begin[first] + anchor
+    turn, on = ordered(data, place, w)
+    back, before = ordered(data[::-1], len(data) - place, w - method.gram)
+    rank = np.empty(len(back), np.int64)
+    rank[back] = np.arange(len(back))
+    # From here on in the order of the bytes from the anchor on.
+    n, anchor, start, base_of, rank = n[turn], anchor[turn], start[turn], base[turn], rank[turn]
+    least = np.empty(int(n.sum()), np.int64)
+    for offset in range(w - method.gram + 1):
+        live = np.flatnonzero((anchor >= offset) & (anchor - n < offset))
+        if not len(live):
+            continue
+        key = np.cumsum(before < offset)[rank[live]] * len(turn) + np.cumsum(on < w - offset)[live]
+        order = np.argsort(key)
+        head, kind = np.flatnonzero(np.diff(key[order], prepend=-1)), np.empty(len(order), np.int64)
+        step = anchor[live] - offset
+        kind[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        least[base_of[live] + step] = np.minimum.reduceat((start[live] + step)[order], head)[kind]
+    # Back to every segment: its own starts against the least of each of its windows.
+    step = steps(windows)
+    return least[np.repeat(base[same], windows) + step] < np.repeat(starts, windows) + step
 
 
 def counts(own: Group, removed: np.ndarray) -> pa.Table:
