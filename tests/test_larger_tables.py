@@ -117,6 +117,19 @@ def test_kinds_are_read_once_and_written_once():
         assert frame.to_dict("records") == [{"user_id": 1, "kinds": 3, "n": 5 * i}] and held.calls - calls <= 4
 
 
+def test_kinds_of_a_bucket_of_users_are_one_frame_and_one_read():
+    held, bucket, users = Held(), events.Kinds(1000), [*range(100), 2**53 + 1]
+    bucket.init(held)
+    for i in (1, 2):
+        calls = held.calls
+        rows = pd.DataFrame([(u, kind) for kind in "aab" for u in users if u or kind == "a"], columns=["user_id", "event_type"])
+        (frame,) = bucket.handleInputRows((7,), iter([rows[:130], rows[130:]]), None)
+        assert held.calls - calls == 1 + 2 * len(users) - 1
+        assert frame.to_dict("records") == [{"user_id": u, "kinds": 2 if u else 1, "n": (3 if u else 2) * i} for u in users]
+    (frame,) = bucket.handleInputRows((7,), iter([pd.DataFrame({"user_id": [3], "event_type": ["c"]})]), None)
+    assert frame.to_dict("records") == [{"user_id": 3, "kinds": 3, "n": 7}]
+
+
 def test_memory_of_cosines_does_not_grow_with_the_queries():
     draw = np.random.default_rng(5)
     x, q = (draw.standard_normal((n, 32)) for n in (1000, 6000))

@@ -48,6 +48,21 @@ def test_map_state_expires(spark):
     assert sorted((r.kinds, r.n) for r in out.collect()) == [(1, 1)] * 3
 
 
+def test_map_state_of_buckets_of_users(spark):
+    """Users of one bucket, odd ids and events without a user; over a restart."""
+    own = events.rocks(spark, idle=False)
+    path, at, users = scratch(spark, "kinds"), scratch(spark, "kinds-runs"), [None, 0, -1, 2**53, 2**53 + 1, *range(1, 20)]
+    parts = [[event(i, 0, u, kind) for i, u in enumerate(users)] for kind in ("view", "click")] + [[event(1, 0, 5), event(2, 0, None), event(3, 0, 0, None)]]
+    seen = set()
+    for part in parts:
+        own.createDataFrame(part, EVENT).write.mode("append").parquet(path)
+        out = events.recent_kinds(events.stream_of(own, path, own.createDataFrame([], EVENT).schema), at, spark=spark, buckets=2)
+        found = {tuple(r) for r in out.collect()}
+        seen.add(len(found))
+    assert found == {(u, k, k) for u in users for k in (1, 2)} | {(5, 2, 3), (None, 2, 3)}
+    assert seen == {24, 48, 50}
+
+
 def test_sessions_of_a_table_argument(spark):
     rows = [(1, START, "x"), (1, START + dt.timedelta(minutes=29), "x"), (1, START + dt.timedelta(minutes=59), "x"), (None, START, "x"), (2, None, "x")]
     df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, start string").repartition(3)

@@ -226,42 +226,60 @@ def closed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_runs([first, second], rows.schema, lambda events, at: visits(events, at, spark))
 
 
+#: So many events, about, are those of one bucket of users.
+EVENTS_OF_A_BUCKET = 5000
+
+
 class Kinds(StatefulProcessor):
-    """The kinds of events of a user, in a map whose entries expire some time after they were last seen."""
+    """The kinds of events of the users of a bucket, in a map whose entries expire some time after they were last seen.
+
+    Events without a user are a bucket of their own, null. Rows without a column `user_id` are those of one user, the key.
+    """
 
     def __init__(self, expiry_ms: int):
         self.expiry_ms = expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kinds = handle.getMapState("kinds", "kind string", "n long", self.expiry_ms)
+        self.kinds = handle.getMapState("kinds", "user_id long, kind string", "n long", self.expiry_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # The map is read once and each kind written once: every call to the state is a round trip to the JVM.
+        # The map is read once and each kind of a user written once: every call to the state is a round trip to the JVM.
         fresh: Counter = Counter()
         for chunk in rows:
-            fresh.update(chunk["event_type"].tolist())
-        held = {k[0]: v[0] for k, v in self.kinds.iterator()}
-        for kind, n in fresh.items():
-            held[kind] = held.get(kind, 0) + n
-            self.kinds.updateValue((kind,), (held[kind],))
-        yield pd.DataFrame({"user_id": [key[0]], "kinds": [len(held)], "n": [sum(held.values())]})
+            users = chunk["user_id"].tolist() if "user_id" in chunk else [key[0]] * len(chunk)
+            fresh.update(zip(users, chunk["event_type"].tolist(), strict=True))
+        held = {tuple(k): v[0] for k, v in self.kinds.iterator()}
+        for entry, n in fresh.items():
+            held[entry] = held.get(entry, 0) + n
+            self.kinds.updateValue(entry, (held[entry],))
+        seen = dict.fromkeys(user for user, _ in fresh)
+        kinds, total = Counter(), Counter()
+        for (user, _), n in held.items():
+            kinds[user] += 1
+            total[user] += n
+        yield pd.DataFrame({"user_id": [None if pd.isna(key[0]) else u for u in seen], "kinds": [kinds[u] for u in seen], "n": [total[u] for u in seen]})
 
     def close(self) -> None:
         pass
 
 
-def recent_kinds(events: DataFrame, at: str | None = None, expiry_ms: int = 86_400_000, spark: SparkSession | None = None) -> DataFrame:
+def recent_kinds(events: DataFrame, at: str | None = None, expiry_ms: int = 86_400_000, spark: SparkSession | None = None, buckets: int = 64) -> DataFrame:
     """(user_id, kinds, n) after each batch: the kinds of events of a user seen within the expiry (processing time), and these events.
 
-    The events' session must not run idle batches (`rocks(spark, idle=False)`).
+    A key of the state is a bucket of users, as every key costs some milliseconds a batch whatever it holds. A stream keeps its
+    number of buckets over restarts. The events' session must not run idle batches (`rocks(spark, idle=False)`).
     """
-    grouped = events.where("event_type IS NOT NULL").select("user_id", "event_type").groupBy("user_id")
-    out = grouped.transformWithStateInPandas(Kinds(expiry_ms), "user_id long, kinds long, n long", "update", "processingtime")
+    user = F.col("user_id").cast("long")
+    bucket = F.when(user.isNotNull(), F.pmod(F.xxhash64(user), F.lit(buckets))).alias("bucket")
+    # A null among the numbers of a frame would make them fractions.
+    rows = events.where("event_type IS NOT NULL").select(bucket, F.coalesce(user, F.lit(0)).alias("user_id"), "event_type")
+    out = rows.groupBy("bucket").transformWithStateInPandas(Kinds(expiry_ms), "user_id long, kinds long, n long", "update", "processingtime")
     return drained(out, "update", "kinds", at, spark)
 
 
 def kinds_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds and events of each user in all of a restarted stream; the largest counts are the last ones, as nothing expires so soon."""
     rows, first, second = halves(rocks(spark, idle=False), sf_dir)
-    found = in_runs([first, second], rows.schema, lambda events, at: recent_kinds(events, at, spark=spark))
+    buckets = max(64, rows.count() // EVENTS_OF_A_BUCKET)
+    found = in_runs([first, second], rows.schema, lambda events, at: recent_kinds(events, at, spark=spark, buckets=buckets))
     return found.groupBy("user_id").agg(F.max("kinds").alias("kinds"), F.max("n").alias("n"))
