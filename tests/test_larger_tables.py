@@ -22,6 +22,15 @@ def test_estimate_of_many_distinct_values_is_close(spark, tmp_path):
     assert list(map(tuple, catalogue.queries()["p31_approximate_distinct"](spark, str(tmp_path)).collect())) == [("A", 1_200_000, True)]
 
 
+def test_a_group_has_one_sketch_not_one_for_each_value(spark, tmp_path):
+    rows = [("A", 1), ("A", 1), ("A", None), ("B", 2), ("B", 3), (None, 4), (None, 4), (None, 5), ("C", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.queries()["p31_approximate_distinct"](spark, str(tmp_path))
+    assert set(map(tuple, found.collect())) == {("A", 1, True), ("B", 2, True), (None, 2, True), ("C", 0, True)}
+    sketches = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "approx_count_distinct" in line and "Aggregate" in line]
+    assert sketches and not any("l_partkey" in line[line.index("keys=[") : line.index("]")] for line in sketches)
+
+
 @pytest.mark.parametrize("most", [1000, 10])
 def test_theta_join_is_dealt_evenly(spark, most):
     a = spark.range(400).select(F.col("id").alias("a"), F.when(F.col("id") > 3, F.col("id") % 2).alias("k"), (F.col("id") % 50).alias("x")).coalesce(1)
