@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import evaluation
+from weftline.operators import evaluation, joins
 from weftline.operators.contamination import run_counts
 from weftline.operators.joins import theta
 from weftline.operators.similarity import Turned, best
@@ -48,6 +48,31 @@ def test_customers_of_one_file_are_dealt_to_all_tasks(spark):
     assert "RoundRobinPartitioning" in plan and "BroadcastHashJoin" in plan
 
 
+@pytest.mark.parametrize("by", ["y", None])
+def test_theta_join_in_blocks_finds_each_pair_once(spark, monkeypatch, by):
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    a = [(i % 90, None if i < 4 else i % 3, None if i == 9 else float(i % 50)) for i in range(200)]  # rows that repeat ids and whole rows too
+    b = [(j, None if j == 5 else j % 4, None if j == 7 else float(j // 2)) for j in range(100)] + [(1, 1, 0.5)] * 20
+    many, few = spark.createDataFrame(a, "a long, k int, x double").coalesce(1), spark.createDataFrame(b, "b long, l int, y double")
+    pairs = theta(many, few, F.col("x") < F.col("y"), ("k", "l"), 10, by)
+    assert pairs.columns == ["a", "k", "x", "b", "l", "y"]
+    want = [r + s for r in a for s in b if None not in (r[1], r[2], s[2]) and r[1] == s[1] and r[2] < s[2]]
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+
+
+def test_pairs_of_many_suppliers_take_little_room(spark, tmp_path):
+    nation, balance = F.lit(3).alias("c_nationkey"), (F.xxhash64("id") % 10_000).cast("double")
+    spark.range(1000).select(F.col("id").alias("c_custkey"), nation, balance.alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(12_000).select(F.col("id").alias("s_suppkey"), nation.alias("s_nationkey"), (-balance).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{tmp_path}/customer.parquet").createOrReplaceTempView("customer_")
+    spark.read.parquet(f"{tmp_path}/supplier.parquet").createOrReplaceTempView("supplier_")
+    catalogue.queries()["p13_theta_equi_join"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    found, sums = spark.read.parquet(f"{tmp_path}/pairs"), (F.count("*"), F.sum("c_custkey"), F.sum("s_suppkey"), F.sum(F.col("c_custkey") * F.col("s_suppkey")))
+    want = spark.sql("SELECT c_custkey, s_suppkey FROM customer_ JOIN supplier_ ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
+    assert found.agg(*sums).collect() == want.agg(*sums).collect()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.7 * found.count()  # bytes; all matches of a row at once took over 1.5 a pair
+
+
 @pytest.mark.parametrize("most_words", [1 << 21, 0])
 def test_shared_runs_count_once_null_ids_too(spark, most_words):
     docs = spark.createDataFrame([(1, "A b, c d"), (1, "b c d e"), (None, "a b c"), (None, "b c d"), (2, None), (3, "a b x c"), (4, " b c")], "doc_id long, text string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.order import clashing
+from weftline.sources.tables import kept
 
 
 def named(name: str) -> Column:
@@ -68,24 +69,41 @@ def soon_after(first: DataFrame, then: DataFrame, by: str, time: str, span: floa
     return pairs.select(F.col("a").alias(names[0]), F.col("b").alias(names[1]))
 
 
-#: Rows of the smaller side of a theta join that are broadcast, and the cells that each key is cut into beyond that.
-MOST_BROADCAST, CELLS = 1_000_000, 16
+#: Rows of the smaller side of a theta join that are broadcast. Beyond that: its rows in a block, and the cells that the pairs of the other side and a block are cut into.
+MOST_BROADCAST, BLOCK, CELLS = 10_000, 1024, 16
 
 
-def theta(many: DataFrame, few: DataFrame, condition: Column, key: tuple[str, str], most: int = MOST_BROADCAST) -> DataFrame:
+def fits(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def theta(many: DataFrame, few: DataFrame, condition: Column, key: tuple[str, str], most: int = MOST_BROADCAST, by: str | None = None) -> DataFrame:
     """All pairs of a row of `many` and one of `few` with equal keys for which `condition` holds, with the columns of both.
 
     The work is in the pairs, so `many` is dealt evenly, however it is stored and however few keys there are, to as many tasks as
     spark.sql.shuffle.partitions, which adaptive execution does not join by their bytes. `few` is broadcast up to `most` rows, which is
-    checked; beyond that each key is cut into CELLS cells: a row of `many` is in one of them, a row of `few` in all. Pairs stream out
-    of the join and no task holds them. Columns of the two sides need different names.
+    checked. Beyond that its rows are in blocks of BLOCK rows at most that are next to each other by key and `by`, the column of `few`
+    that the condition compares: a row of `many` stands in one of CELLS cells of each block of its key, a row of `few` in all cells of
+    its block. Pairs stream out of the join, no task holds them, and a row of `many` meets one block at a time.
+
+    Blocks are there for what is made of the pairs too: row upon row of `many` comes with the same rows of `few`, mostly all of a block
+    or none, which files of columns hold in a small part of the room of all matches of a row at once. Columns of the two sides need
+    different names.
     """
-    clashing(many, [*few.columns, "_cell"])
-    clashing(few, ["_cell"])
+    own = ["_key", "_block", "_block_", "_cell", "_cell_"]
+    clashing(many, [*few.columns, *own])
+    clashing(few, own)
     parts, same = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")), named(key[0]) == named(key[1])
-    if few.limit(most + 1).count() <= most:
+    if fits(few, most):
         return many.repartition(parts).join(F.broadcast(few), same & condition)
-    dealt = many.withColumn("_cell", F.pmod(F.xxhash64(*(named(c) for c in many.columns)), F.lit(CELLS)).cast("int"))
-    cells = few.withColumn("_cell_", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-    pairs = dealt.repartition(parts, named(key[0]), "_cell").join(cells.repartition(parts, named(key[1]), "_cell_").hint("merge"), same & (F.col("_cell") == F.col("_cell_")) & condition)
-    return pairs.drop("_cell", "_cell_")
+    order = [*(named(c) for c in (key[1], by) if c), F.xxhash64(*(named(c) for c in few.columns))]  # the last parts what the others leave equal
+    ranged = few.where(named(key[1]).isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocked = kept(ranged.withColumn("_block", F.expr(f"monotonically_increasing_id() DIV {BLOCK}")), "blocks")  # both sides see the same blocks
+    blocks = blocked.select(named(key[1]).alias("_key"), "_block").distinct()
+    blocks = F.broadcast(blocks) if fits(blocks, most) else blocks
+    cell = F.pmod(F.xxhash64(*(named(c) for c in many.columns)), F.lit(CELLS)).cast("int")
+    dealt = many.repartition(parts).withColumn("_cell", cell).join(blocks, named(key[0]) == F.col("_key")).drop("_key")
+    cells = blocked.withColumnRenamed("_block", "_block_").withColumn("_cell_", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    on = same & (F.col("_block") == F.col("_block_")) & (F.col("_cell") == F.col("_cell_")) & condition
+    pairs = dealt.repartition(parts, named(key[0]), "_block", "_cell").join(cells.repartition(parts, named(key[1]), "_block_", "_cell_").hint("merge"), on)
+    return pairs.drop("_block", "_cell", "_block_", "_cell_")

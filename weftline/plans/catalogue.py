@@ -137,7 +137,7 @@ def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def richer_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return theta(customers, suppliers, F.col("c_acctbal") < F.col("s_acctbal"), ("c_nationkey", "s_nationkey")).select("c_custkey", "s_suppkey")
+    return theta(customers, suppliers, F.col("c_acctbal") < F.col("s_acctbal"), ("c_nationkey", "s_nationkey"), by="s_acctbal").select("c_custkey", "s_suppkey")
 
 
 @frame("p14_interval_in_buckets", SQL["p14_interval_join"][1])
